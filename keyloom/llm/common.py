@@ -50,9 +50,10 @@ def map_arrow(
     columns: list[str],
     out: T.StructType,
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    rows: int = ARROW_ROWS,
 ) -> DataFrame:
     """``mapInArrow`` over only ``columns``, in short batches so that long texts fit in memory."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.select(*columns).mapInArrow(work, out)
 
 
