@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, simhash, toxicity
+from . import bpe, decontam, langid, quality, secrets, sharding, simhash, spans, toxicity
 from .common import read_table
 
 
@@ -36,10 +36,30 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = spans.dedup_spans(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_sentences", "n_removed", F.size("spans").alias("n_spans"),
+        F.length("kept").alias("n_chars_kept"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"), secrets.fit_secrets(spark))
+    return found.select(
+        "doc_id", "word_ix", F.length("secret").alias("n_chars"), F.sha2(F.col("secret").cast("binary"), 256).alias("secret_sha256"),
+        "score", "is_secret",
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = sharding.balance(read_table(spark, sf_dir, "documents"))
     return put.select(
