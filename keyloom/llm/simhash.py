@@ -94,27 +94,42 @@ def _ball_edges(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs within three bits; ``fps`` is distinct."""
-    sigs = signatures(fps)
-    sizes = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    sizes = spool(sizes.where("n > 1"))
-    near = F.expr(f"bit_count(a ^ b) <= {DISTANCE}")
-    pairs = sizes.where("n = 2").where(near).select("a", "b")
-    more = sizes.where("n > 2").select("sig", "n")
-    members = spool(sigs.join(more, "sig").select("sig", "n", "fp"))
-    groups = members.where(F.col("n") <= PAIRWISE).groupBy("sig").agg(F.collect_list("fp").alias("all"))
+    """Edges (a, b) whose components are those of all pairs within three bits; ``fps`` is distinct.
+
+    Signatures are dealt out by value and sorted, so that the members of one come in a row: up to
+    ``PAIRWISE`` of them are compared in memory; of a larger group every member is passed on (b is null)
+    to ``_ball_edges``, so no task holds a group of unbounded size.
+    """
     out = T.StructType.fromDDL("a long, b long")
 
     def work(batches):
+        sig, held, crowded = None, [], False
         for batch in batches:
-            edges = [e for g in batch.column("all").to_pylist() for e in forest(g)]
+            sigs, members = batch.column("sig").to_numpy(), batch.column("fp").to_numpy()
+            starts = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1]]) if len(sigs) else []
+            ends = [*starts[1:], len(sigs)] if len(sigs) else []
+            edges = []
+            # only runs of two or more, and the first and last of a batch, can matter
+            lone = np.asarray(ends) - np.asarray(starts) == 1
+            for i in [i for i in range(len(starts)) if not lone[i] or i in (0, len(starts) - 1)]:
+                group = members[starts[i] : ends[i]].tolist()
+                if sigs[starts[i]] != sig:
+                    edges += [] if crowded else forest(held)
+                    sig, held, crowded = sigs[starts[i]], [], False
+                if crowded or len(held) + len(group) > PAIRWISE:
+                    edges += [(x, None) for x in held + group]
+                    held, crowded = [], True
+                else:
+                    held = held + group
             yield record([[e[0] for e in edges], [e[1] for e in edges]], out)
-
-    found = pairs.union(map_arrow(groups, ["all"], out, work))
-    crowded = members.where(F.col("n") > PAIRWISE).select("fp").distinct()
-    if crowded.limit(1).count():
-        found = found.union(_ball_edges(crowded))
-    return found
+        edges = [] if crowded else forest(held)
+        yield record([[e[0] for e in edges], [e[1] for e in edges]], out)
+
+    dealt = signatures(fps).repartition("sig").sortWithinPartitions("sig", "fp")
+    found = spool(map_arrow(dealt, ["sig", "fp"], out, work, rows=50_000))
+    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    edges = found.where("b is not null")
+    return edges.union(_ball_edges(crowded)) if crowded.limit(1).count() else edges
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
