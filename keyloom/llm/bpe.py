@@ -25,8 +25,10 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-#: Distinct pieces that one worker remembers; beyond it the memory is emptied and filled anew.
+#: Distinct pieces of a generation of a worker's memory; it holds two, so frequent pieces stay.
 REMEMBERED = 400_000
+#: Characters of such pieces, in case they are long.
+HELD_CHARS = 16_000_000
 FOREVER = 1 << 40
 
 
@@ -75,6 +77,8 @@ class PrefixBpe:
         self.whole: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def _spine(self, token: int, right: bool) -> list[tuple[int, int]]:
         """Edge tokens of ``token`` from its outer byte upwards, each with the rank that consumes it."""
@@ -144,22 +148,26 @@ class PrefixBpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
+        out = []
         for part in self.added.split(text) if self.added else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
             if self.add_space and part and not part[0].isspace():
                 part = " " + part
-            for p in self.pieces.findall(part):
-                ids = known.get(p)
+            pieces = self.pieces.findall(part)
+            known = self.known
+            for p in set(pieces).difference(known):
+                ids = self.older.get(p)
                 if ids is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    ids = b"".join(i.to_bytes(4, "little") for i in self.encode_piece(p.encode()))
-                    if len(p) <= 64:
-                        known[p] = ids
-                out.append(ids)
+                    ids = b"".join([i.to_bytes(4, "little") for i in self.encode_piece(p.encode())])
+                known[p] = ids
+                self.held += len(p)
+            out += map(known.__getitem__, pieces)
+            if len(known) >= REMEMBERED or self.held > HELD_CHARS:
+                self.older, self.known, self.held = known, {}, 0
+                if len(self.fits) > 4 * REMEMBERED:
+                    self.fits.clear()
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
