@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, secrets, sharding, simhash, spans, toxicity
-from .common import read_table
-
+import corpus_pipeline
 
-def vocabulary() -> str:
-    """Path of the default public vocabulary file."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+from . import bpe, decontam, langid, quality, secrets, sharding, simhash, spans, suffixes, toxicity
+from .common import read_table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +23,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digest(bpe.bpe_encode(read_table(spark, sf_dir, "documents"), vocabulary()))
+    return bpe.digest(bpe.bpe_encode(read_table(spark, sf_dir, "documents"), bpe.vocabulary()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +55,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup_bytes(read_table(spark, sf_dir, "documents"))
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s.stop - s.start)
+    return cut.select(
+        "doc_id", "n_bytes", n.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     put = sharding.balance(read_table(spark, sf_dir, "documents"))
     return put.select(
@@ -70,9 +74,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Name and function of each query."""
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    """DuckDB SQL of the queries that SQL can express: none, each fits a model or compares all texts."""
+    return {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -231,7 +231,14 @@ def find_secrets(docs: DataFrame, forest: FlatForest, threshold: float = 0.5, te
 
 
 def redact(docs: DataFrame, forest: FlatForest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents with every secret in the text replaced by ``MASK``; all columns are kept; null stays null."""
+    """The documents with every secret in the text replaced by ``MASK``; all columns are kept; null stays null.
+
+    A column ``n_chars``, where there is one, follows a text that changed.
+    """
     hits = F.filter(scored(F.col(text_col), forest), lambda c: c.score >= threshold)
     clean = F.aggregate(hits, F.col(text_col), lambda t, c: F.replace(t, c.run, F.lit(MASK)))
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNull(), F.col(text_col)).otherwise(clean)).select(*docs.columns)
+    out = docs.withColumn("__clean", F.when(F.col(text_col).isNotNull(), clean))
+    if "n_chars" in docs.columns:
+        changed = ~F.col("__clean").eqNullSafe(F.col(text_col))
+        out = out.withColumn("n_chars", F.when(changed, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn(text_col, F.col("__clean")).select(*docs.columns)

@@ -149,3 +149,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text_col: str = "text") -
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
+    """One document of each group of near-duplicates, the one of smallest ``doc_id``; all columns stay."""
+    groups = near_duplicates(docs, shingle, text_col)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
