@@ -1,9 +1,888 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, each with its DuckDB counterpart where SQL can express it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from keyloom.functions import exprs as X
+from keyloom.operators import bitmaps, generic, hashes, hll, lists, sets, strings, ttl, zsets
+from keyloom.operators import sort as sorting
+from keyloom.plans import fold, persist, stats
+from keyloom.sources.model import KEY, live, probe, shaped
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; integers come out as 64 bits, decimals as doubles and bytes as text."""
+
+    def wrap(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(Tables(spark, sf_dir))
+            small = (T.IntegerType, T.ShortType, T.ByteType)
+            to = lambda t: "bigint" if isinstance(t, small) else "double" if isinstance(t, T.DecimalType) else "string" if isinstance(t, T.BinaryType) else None
+            return df.select(*(F.col(c.name).cast(to(c.dataType)) if to(c.dataType) else F.col(c.name) for c in df.schema))
+
+        run.__name__ = name
+        _QUERIES[name] = run
+        if sql:
+            _SQL[name] = f"WITH {_CTES}\n{sql}"
+        return f
+
+    return wrap
+
+
+NOW = 1705276800000  # 2024-01-15 in milliseconds
+#: Tables of the model over the driver's tables, as SQL; ``Tables`` builds the same with DataFrames.
+_CTES = """
+board AS (SELECT event_type AS key, CAST(user_id AS VARCHAR) AS member,
+  CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS score FROM events GROUP BY 1, 2),
+users AS (SELECT DISTINCT event_type AS key, CAST(user_id AS VARCHAR) AS member FROM events),
+segs AS (SELECT DISTINCT c_mktsegment AS key, CAST(c_nationkey AS VARCHAR) AS member FROM customer),
+log AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS key, event_type AS cmd, value, ts,
+  CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+chash AS (SELECT 'customer:' || c_custkey AS key, f.field, CASE f.field WHEN 'name' THEN c_name
+  WHEN 'segment' THEN c_mktsegment ELSE CAST(c_nationkey AS VARCHAR) END AS value
+  FROM customer, (VALUES ('name'), ('segment'), ('nation')) f(field)),
+clist AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn AS pos, role AS value FROM conversations),
+cidx AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM clist),
+elist AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS pos, event_type AS value FROM events),
+eidx AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM elist),
+bits AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CAST(date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS BIGINT) AS bit FROM events),
+tbits AS (SELECT DISTINCT event_type AS key, event_id % 3000 AS bit FROM events),
+keys AS (SELECT 'e:' || event_id AS key, event_type AS type, CASE WHEN event_type = 'signup' THEN NULL
+  ELSE epoch_us(ts) // 1000 + CASE event_type WHEN 'click' THEN 3600000 WHEN 'view' THEN 86400000 ELSE 604800000 END END AS expire_at FROM events),
+ops AS (SELECT event_id AS seq, event_type AS cmd, CAST(user_id AS VARCHAR) AS key, CAST(round(value * 10) AS BIGINT) AS usec,
+  CASE WHEN event_type = 'error' THEN 'ERR' END AS err, ts FROM events)
+"""
+
+
+class Tables:
+    """The model's tables, built from the driver's tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def raw(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def user(self):
+        return F.col("user_id").cast("string")
+
+    def board(self) -> DataFrame:
+        rows = shaped(self.raw("events"), key="event_type", member=self.user, score=F.col("value").cast("decimal(18,2)"))
+        return rows.groupBy(*zsets.MEMBER).agg(F.sum("score").cast("double").alias("score"))
+
+    def users(self) -> DataFrame:
+        return shaped(self.raw("events"), key="event_type", member=self.user).distinct()
+
+    def segs(self) -> DataFrame:
+        return shaped(self.raw("customer"), key="c_mktsegment", member=F.col("c_nationkey").cast("string")).distinct()
+
+    def log(self) -> DataFrame:
+        cents = F.round(F.col("value") * 100).cast("bigint")
+        return shaped(self.raw("events"), seq="event_id", key=self.user, cmd="event_type", value="value", ts="ts", cents=cents)
+
+    def chash(self) -> DataFrame:
+        c = self.raw("customer")
+        entries = F.map_from_arrays(
+            F.array(F.lit("name"), F.lit("segment"), F.lit("nation")), F.array("c_name", "c_mktsegment", F.col("c_nationkey").cast("string"))
+        )
+        rows = c.select(F.lit(0).alias("db"), F.concat(F.lit("customer:"), F.col("c_custkey")).alias("key"), F.explode(entries).alias("field", "value"))
+        return rows.withColumn("field_expire_at", F.lit(None).cast("bigint"))
+
+    def clist(self) -> DataFrame:
+        return shaped(self.raw("conversations"), key=F.col("conv_id").cast("string"), pos="turn", value="role")
+
+    def elist(self) -> DataFrame:
+        return shaped(self.raw("events"), key=self.user, pos="event_id", value="event_type")
+
+    def bits(self) -> DataFrame:
+        day = F.datediff(F.to_date("ts"), F.lit("2024-01-01")).cast("bigint")
+        return shaped(self.raw("events"), key=self.user, bit=day).distinct()
+
+    def tbits(self) -> DataFrame:
+        return shaped(self.raw("events"), key="event_type", bit=F.col("event_id") % 3000).distinct()
+
+    def keys(self) -> DataFrame:
+        ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) + 1704067200000")
+        life = F.when(F.col("event_type") == "click", 3600000).when(F.col("event_type") == "view", 86400000).otherwise(604800000)
+        at = F.when(F.col("event_type") != "signup", ms + life)
+        return shaped(self.raw("events"), key=F.concat(F.lit("e:"), F.col("event_id")), type="event_type", expire_at=at)
+
+    def ops(self) -> DataFrame:
+        usec = F.round(F.col("value") * 10).cast("bigint")
+        err = F.when(F.col("event_type") == "error", "ERR")
+        return shaped(self.raw("events"), seq="event_id", cmd="event_type", key=self.user, usec=usec, err=err, ts="ts")
+
+    def asked(self, rows: list, schema: str) -> DataFrame:
+        return self.spark.createDataFrame(rows, schema)
+
+
+# strings and numerics
+
+
+@query("q_leaderboard", "SELECT key, member, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS rank FROM board) WHERE rank <= 9")
+def _(t):
+    return zsets.zrange(t.board(), 0, 9, reverse=True).select("key", "member", "score", "rank")
+
+
+@query("q_mget", "SELECT a.pos, a.key, c_mktsegment AS value FROM (VALUES (0, 'customer:5'), (1, 'nope'), (2, 'customer:1'), (3, 'customer:5')) a(pos, key) LEFT JOIN customer ON a.key = 'customer:' || c_custkey".replace("a.pos", "CAST(a.pos AS BIGINT) AS pos"))
+def _(t):
+    values = shaped(t.raw("customer"), key=F.concat(F.lit("customer:"), F.col("c_custkey")), value="c_mktsegment")
+    return strings.mget(values, probe(t.spark, ["customer:5", "nope", "customer:1", "customer:5"]))
+
+
+@query("q_incr_totals", "SELECT key, CAST(sum(cents) AS BIGINT) AS value FROM log GROUP BY key")
+def _(t):
+    return strings.incr_total(t.log(), "cents").select("key", "value")
+
+
+@query("q_incr_running", "SELECT key, seq, CAST(sum(cents) OVER (PARTITION BY key ORDER BY seq) AS BIGINT) AS value FROM log")
+def _(t):
+    return strings.incr_running(t.log(), "cents").select("key", "seq", "value")
+
+
+@query("q_decrby", "SELECT key, CAST(-sum(cents) AS BIGINT) AS value FROM log GROUP BY key")
+def _(t):
+    return strings.incr_total(t.log(), -F.col("cents")).select("key", "value")
+
+
+@query("q_incrbyfloat", "SELECT key, round(sum(value), 2) AS value FROM log GROUP BY key")
+def _(t):
+    return strings.incr_float(t.log(), "value").select("key", F.round("value", 2).alias("value"))
+
+
+@query("q_getset_previous", "SELECT key, seq, cmd, lag(cmd) OVER (PARTITION BY key ORDER BY seq) AS old_value FROM log")
+def _(t):
+    return strings.previous(t.log(), "cmd").select("key", "seq", "cmd", "old_value")
+
+
+@query("q_set_lww", "SELECT key, arg_max(cmd, seq) AS value FROM log GROUP BY key")
+def _(t):
+    return strings.last_write(t.log().select(*KEY, "seq", F.col("cmd").alias("value"))).select("key", "value")
+
+
+@query("q_setnx_first", "SELECT key, arg_min(cmd, seq) AS value FROM log GROUP BY key")
+def _(t):
+    return strings.first_write(t.log().select(*KEY, "seq", F.col("cmd").alias("value"))).select("key", "value")
+
+
+@query("q_setex", "SELECT key, arg_max(cmd, seq) AS value, max_by(epoch_us(ts) // 1000 + 60000, seq) AS expire_at FROM log GROUP BY key")
+def _(t):
+    ms = F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) + 1704067200000")
+    writes = t.log().select(*KEY, "seq", F.col("cmd").alias("value"), (ms + 60000).alias("expire_at"))
+    return strings.last_write(writes).select("key", "value", "expire_at")
+
+
+@query("q_msetnx", "SELECT o_orderkey AS seq, bool_and(o_custkey % 3 <> 0) AS applied FROM orders WHERE o_orderkey < 500 GROUP BY 1")
+def _(t):
+    o = t.raw("orders").where("o_orderkey < 500")
+    commands = shaped(o, seq="o_orderkey", key=F.col("o_custkey").cast("string"), value="o_orderstatus")
+    there = shaped(t.raw("orders").where("o_custkey % 3 = 0"), key=F.col("o_custkey").cast("string"))
+    return strings.all_or_nothing(commands, there).select("seq", "applied").distinct()
+
+
+@query("q_strlen", "SELECT p_partkey, strlen(p_name) AS n FROM part")
+def _(t):
+    return t.raw("part").select("p_partkey", strings.strlen("p_name").alias("n"))
+
+
+@query("q_append", "SELECT key, string_agg(value, '' ORDER BY pos) AS value, CAST(sum(strlen(value)) AS BIGINT) AS length FROM elist GROUP BY key")
+def _(t):
+    writes = t.elist().withColumnRenamed("pos", "seq")
+    return strings.append(writes).select("key", "value", "length")
+
+
+@query("q_getrange", "SELECT c_custkey, substr(c_name, 3, 6) AS mid, substr(c_name, greatest(strlen(c_name) - 4, 1), 5) AS tail, '' AS none FROM customer")
+def _(t):
+    return t.raw("customer").select("c_custkey", strings.getrange("c_name", 2, 7).alias("mid"), strings.getrange("c_name", -5, -1).alias("tail"), strings.getrange("c_name", 400, 500).alias("none"))
+
+
+@query("q_setrange", "SELECT c_custkey, substr(c_name, 1, 4) || 'XYZ' || substr(c_name, 8) AS value FROM customer")
+def _(t):
+    return t.raw("customer").select("c_custkey", strings.setrange("c_name", 4, "XYZ").alias("value"))
+
+
+@query("q_canonical_int", "SELECT v, CASE WHEN regexp_full_match(v, '0|-?[1-9][0-9]*|-0') THEN TRY_CAST(v AS BIGINT) END AS n FROM (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS VARCHAR) WHEN 1 THEN '0' || c_custkey WHEN 2 THEN '+' || c_custkey ELSE '-' || c_custkey END AS v FROM customer)")
+def _(t):
+    k = F.col("c_custkey").cast("string")
+    v = F.when(F.col("c_custkey") % 4 == 0, k).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("0"), k)).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("+"), k)).otherwise(F.concat(F.lit("-"), k))
+    return t.raw("customer").select(v.alias("v")).distinct().select("v", X.canonical_int("v").alias("n"))
+
+
+@query("q_delifeq", "SELECT 'customer:' || c_custkey AS key, c_mktsegment AS value FROM customer WHERE NOT (c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0)")
+def _(t):
+    c = t.raw("customer")
+    name = F.concat(F.lit("customer:"), F.col("c_custkey"))
+    asked = shaped(c.where("c_custkey % 2 = 0"), key=name, value=F.lit("MACHINERY"))
+    return strings.delete_if_equal(shaped(c, key=name, value="c_mktsegment"), asked).select("key", "value")
+
+
+# keyspace
+
+
+@query("q_keys_glob", "SELECT DISTINCT key FROM chash WHERE key GLOB 'customer:1?[!3-5]*'")
+def _(t):
+    return generic.keys_like(t.chash().select(*KEY).distinct(), "customer:1?[^3-5]*").select("key")
+
+
+@query("q_keys_prefix", "SELECT DISTINCT key FROM chash WHERE key GLOB 'customer:12*'")
+def _(t):
+    return generic.keys_like(t.chash().select(*KEY).distinct(), "customer:12*").select("key")
+
+
+@query("q_scan_page", "SELECT key FROM (SELECT DISTINCT key FROM chash) WHERE key >= 'customer:2' ORDER BY key LIMIT 25")
+def _(t):
+    keys = t.chash().select(*KEY).distinct()
+    return generic.scan(keys, "key", "customer:2", 25, order=F.col("key")).select("key")
+
+
+@query("q_dbsize", "SELECT count(*) AS n FROM keys")
+def _(t):
+    return generic.dbsize(t.keys()).select("n")
+
+
+@query("q_exists", "SELECT CAST(2 * count(*) AS BIGINT) AS n FROM keys WHERE key IN ('e:1', 'e:7')")
+def _(t):
+    return generic.exists(t.keys(), probe(t.spark, ["e:1", "e:7", "x", "e:1", "e:7"]))
+
+
+@query("q_type", "SELECT CAST(a.pos AS BIGINT) AS pos, a.key, coalesce(type, 'none') AS type FROM (VALUES (0, 'e:3'), (1, 'x'), (2, 'e:9')) a(pos, key) LEFT JOIN keys USING (key)")
+def _(t):
+    return generic.type_of(t.keys(), probe(t.spark, ["e:3", "x", "e:9"]))
+
+
+@query("q_del", "SELECT key FROM keys WHERE key NOT IN (SELECT 'e:' || event_id FROM events WHERE event_id % 3 = 0)")
+def _(t):
+    asked = shaped(t.raw("events").where("event_id % 3 = 0"), key=F.concat(F.lit("e:"), F.col("event_id")))
+    return generic.delete(t.keys(), asked).select("key")
+
+
+@query("q_rename", "SELECT DISTINCT CASE key WHEN 'BUILDING' THEN 'MACHINERY' ELSE key END AS key, member FROM segs WHERE key <> 'MACHINERY'")
+def _(t):
+    return generic.rename(t.segs(), "BUILDING", "MACHINERY").select("key", "member")
+
+
+@query("q_copy", "SELECT key, member FROM segs UNION ALL SELECT 'backup', member FROM segs WHERE key = 'BUILDING'")
+def _(t):
+    return generic.copy(t.segs(), "BUILDING", "backup").select("key", "member")
+
+
+@query("q_swapdb", "SELECT CAST(CASE key WHEN 'BUILDING' THEN 0 ELSE 1 END AS BIGINT) AS db, key, member FROM segs")
+def _(t):
+    df = t.segs().withColumn("db", F.when(F.col("key") == "BUILDING", 1).otherwise(0))
+    return generic.swapdb(df, 0, 1).select("db", "key", "member")
+
+
+@query("q_object_encoding", "SELECT key, CASE WHEN count(*) <= 512 THEN 'intset' ELSE 'hashtable' END AS encoding FROM users GROUP BY key")
+def _(t):
+    got = t.users().groupBy("key").agg(
+        generic.encoding_of_collection("set", F.count(F.lit(1)), F.max(F.octet_length("member")), F.bool_and(X.canonical_int("member").isNotNull())).alias("encoding")
+    )
+    return got
+
+
+@query("q_memory_usage", "SELECT key, CAST(sum(strlen(field) + strlen(value) + 56) + strlen(key) AS BIGINT) AS bytes FROM chash GROUP BY key")
+def _(t):
+    return generic.memory_usage(t.chash(), "field", "value").select("key", "bytes")
+
+
+@query("q_dump_restore", "SELECT key, field, value FROM chash")
+def _(t):
+    dumped = generic.dump(t.chash(), "field", "value")
+    return generic.restore(dumped, "field string, value string").select("key", "field", "value")
+
+
+@query("q_random_key", None)
+def _(t):
+    return generic.random_rows(t.keys(), "key", 1, seed=1).select("key")
+
+
+# deadlines
+
+
+@query("q_live_keys", f"SELECT key, type, expire_at FROM keys WHERE expire_at IS NULL OR expire_at >= {NOW}")
+def _(t):
+    return live(t.keys(), NOW).select("key", "type", "expire_at")
+
+
+@query("q_ttl", f"SELECT key, CASE WHEN expire_at IS NULL THEN -1 ELSE CAST(floor((expire_at - {NOW} + 500) / 1000.0) AS BIGINT) END AS ttl, CASE WHEN expire_at IS NULL THEN -1 ELSE expire_at - {NOW} END AS pttl, CASE WHEN expire_at IS NULL THEN -1 ELSE CAST(floor((expire_at + 500) / 1000.0) AS BIGINT) END AS expiretime, coalesce(expire_at, -1) AS pexpiretime FROM keys WHERE expire_at IS NULL OR expire_at >= {NOW}")
+def _(t):
+    return live(t.keys(), NOW).select(
+        "key", ttl.ttl("expire_at", NOW).alias("ttl"), ttl.pttl("expire_at", NOW).alias("pttl"),
+        ttl.expiretime("expire_at").alias("expiretime"), ttl.pexpiretime("expire_at").alias("pexpiretime"),
+    )
+
+
+@query("q_expire_gates", f"""SELECT key, CASE WHEN expire_at IS NULL THEN 1 ELSE 0 END AS nx, CASE WHEN expire_at IS NULL THEN 0 ELSE 1 END AS xx,
+  CASE WHEN expire_at IS NOT NULL AND {NOW} + 100000000 > expire_at THEN 1 ELSE 0 END AS gt,
+  CASE WHEN expire_at IS NULL OR {NOW} + 100000000 < expire_at THEN 1 ELSE 0 END AS lt FROM keys""".replace("THEN 1 ELSE 0 END", "THEN CAST(1 AS BIGINT) ELSE 0 END").replace("THEN 0 ELSE 1 END", "THEN CAST(0 AS BIGINT) ELSE 1 END"))
+def _(t):
+    new = F.lit(NOW + 100000000)
+    replies = [F.when(ttl.gate("expire_at", new, **{k: True}), 1).otherwise(0).alias(k) for k in ("nx", "xx", "gt", "lt")]
+    return t.keys().select("key", *replies)
+
+
+@query("q_expire_past", f"SELECT key, CAST(CASE WHEN expire_at < {NOW} THEN 2 ELSE 1 END AS BIGINT) AS reply FROM keys WHERE expire_at IS NOT NULL AND expire_at <> {NOW}")
+def _(t):
+    keys = t.keys().where(f"expire_at is not null and expire_at <> {NOW}").withColumn("new", F.col("expire_at"))
+    return ttl.expire(keys, "new", NOW, xx=True).select("key", "reply")
+
+
+@query("q_persist", "SELECT key, CAST(expire_at IS NOT NULL AS BIGINT) AS reply FROM keys")
+def _(t):
+    return ttl.persist(t.keys()).select("key", "reply")
+
+
+@query("q_active_expiry", f"SELECT key, expire_at FROM keys WHERE expire_at < {NOW} ORDER BY expire_at, key LIMIT 100")
+def _(t):
+    return ttl.due(t.keys(), NOW, 100).select("key", "expire_at")
+
+
+# lists
+
+
+@query("q_lrange", "SELECT key, i, value FROM cidx WHERE i >= greatest(n - 3, 0) AND i <= n - 2")
+def _(t):
+    return lists.lrange(t.clist(), -3, -2).select("key", "i", "value")
+
+
+@query("q_lindex", "SELECT key, value FROM eidx WHERE i = n - 2")
+def _(t):
+    return lists.lindex(t.elist(), -2).select("key", "value")
+
+
+@query("q_llen", "SELECT key, count(*) AS n FROM elist GROUP BY key")
+def _(t):
+    return lists.llen(t.elist()).select("key", "n")
+
+
+@query("q_lpos", "SELECT key, nth, i FROM (SELECT key, i, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS nth FROM eidx WHERE value = 'click') WHERE nth BETWEEN 1 AND 2")
+def _(t):
+    return lists.lpos(t.elist(), "click", rank=2, count=2).select("key", "nth", "i")
+
+
+@query("q_lrem", "SELECT key, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY key, value ORDER BY pos DESC) AS nth FROM elist) WHERE value <> 'view' OR nth > 2")
+def _(t):
+    return lists.lrem(t.elist(), -2, "view").select("key", "pos", "value")
+
+
+@query("q_linsert", "SELECT key, i * 2 AS pos, value FROM eidx UNION ALL SELECT key, 2 * min(i) - 1, 'X' FROM eidx WHERE value = 'error' GROUP BY key")
+def _(t):
+    return lists.linsert(t.elist(), "error", "X").select("key", "pos", "value")
+
+
+@query("q_lset", "SELECT key, pos, CASE WHEN i = 0 THEN 'first' ELSE value END AS value FROM eidx")
+def _(t):
+    return lists.lset(t.elist(), 0, "first").select("key", "pos", "value")
+
+
+@query("q_ltrim", "SELECT key, i, value FROM eidx WHERE i BETWEEN 1 AND 3")
+def _(t):
+    return lists.lrange(t.elist(), 1, 3).select("key", "i", "value")
+
+
+@query("q_lpush", "SELECT key, -row_number() OVER (PARTITION BY key ORDER BY pos) AS pos, value FROM elist")
+def _(t):
+    return lists.push(t.elist().select(*KEY, F.col("pos").alias("seq"), F.lit(0).alias("arg"), "value"), left=True).select("key", "pos", "value")
+
+
+@query("q_rpop", "SELECT key, value, n - 1 - i AS taken FROM eidx WHERE n - 1 - i < 2")
+def _(t):
+    return lists.pop(t.elist(), 2, left=False)[0].select("key", "value", "taken")
+
+
+@query("q_lmove", "SELECT key, value FROM (SELECT key, value FROM eidx WHERE NOT (key = '1' AND i = 0) UNION ALL SELECT '2', value FROM eidx WHERE key = '1' AND i = 0)")
+def _(t):
+    return lists.lmove(t.elist(), "1", "2", from_left=True, to_left=False).select("key", "value")
+
+
+@query("q_lmpop", "SELECT key, value FROM eidx WHERE key = '3' AND i < 2")
+def _(t):
+    first = lists.first_nonempty(t.elist(), probe(t.spark, ["nope", "3", "1"]))
+    return lists.pop(first, 2, left=True)[0].select("key", "value")
+
+
+# hashes
+
+
+@query("q_hset_hgetall", "SELECT key, field, value FROM chash")
+def _(t):
+    entries = hashes.hgetall(t.chash())
+    return entries.select("key", F.explode("entries").alias("field", "value"))
+
+
+@query("q_hset_lww", "SELECT key, cmd AS field, arg_max(cents, seq) AS value FROM log GROUP BY 1, 2")
+def _(t):
+    writes = t.log().select(*KEY, "seq", F.lit(0).alias("arg"), F.col("cmd").alias("field"), F.col("cents").alias("value"))
+    return hashes.hset(writes).select("key", "field", "value")
+
+
+@query("q_hmget", "SELECT k.key, CAST(a.pos AS BIGINT) AS pos, a.field, value FROM (SELECT DISTINCT key FROM chash) k CROSS JOIN (VALUES (0, 'segment'), (1, 'zip'), (2, 'name')) a(pos, field) LEFT JOIN chash USING (key, field)")
+def _(t):
+    return hashes.hmget(t.chash(), t.asked([(0, "segment"), (1, "zip"), (2, "name")], "pos int, field string")).select("key", "pos", "field", "value")
+
+
+@query("q_hlen", "SELECT key, count(*) AS n FROM chash GROUP BY key")
+def _(t):
+    return hashes.hlen(t.chash()).select("key", "n")
+
+
+@query("q_hdel", "SELECT key, field, value FROM chash WHERE field <> 'nation'")
+def _(t):
+    return hashes.hdel(t.chash(), t.chash().where("field = 'nation'")).select("key", "field", "value")
+
+
+@query("q_hincrby", "SELECT key, cmd AS field, CAST(sum(cents) AS BIGINT) AS value FROM log GROUP BY 1, 2")
+def _(t):
+    return hashes.hincrby(t.log().withColumn("field", F.col("cmd")), "cents").select("key", "field", "value")
+
+
+@query("q_hexpire", f"SELECT key, field, CAST(CASE WHEN field = 'name' THEN 0 ELSE 1 END AS BIGINT) AS reply, CASE WHEN field = 'name' THEN {NOW + 5} ELSE {NOW + 1000} END AS field_expire_at FROM chash")
+def _(t):
+    h = t.chash().withColumn("field_expire_at", F.when(F.col("field") == "name", F.lit(NOW + 5)))
+    got = ttl.expire(h, F.lit(NOW + 1000), NOW, column="field_expire_at", nx=True)
+    return got.select("key", "field", "reply", "field_expire_at")
+
+
+@query("q_hsetnx", "SELECT key, field, value FROM chash UNION ALL SELECT DISTINCT key, 'vip', 'no' FROM chash")
+def _(t):
+    keys = t.chash().select(*KEY).distinct()
+    writes = keys.withColumn("seq", F.lit(1)).withColumn("field", F.explode(F.array(F.lit("vip"), F.lit("name")))).withColumn("value", F.lit("no"))
+    return hashes.hsetnx(writes, t.chash()).select("key", "field", "value")
+
+
+# sets
+
+
+@query("q_sinter", "SELECT member FROM segs WHERE key = 'BUILDING' INTERSECT SELECT member FROM segs WHERE key = 'MACHINERY'")
+def _(t):
+    return sets.sinter(t.segs(), ["BUILDING", "MACHINERY"])
+
+
+@query("q_sunion", "SELECT DISTINCT member FROM segs WHERE key IN ('BUILDING', 'HOUSEHOLD')")
+def _(t):
+    return sets.sunion(t.segs(), ["BUILDING", "HOUSEHOLD"])
+
+
+@query("q_sdiff", "SELECT member FROM users WHERE key = 'click' AND CAST(member AS BIGINT) % 3 <> 0")
+def _(t):
+    third = t.users().where("key = 'click' and cast(member as bigint) % 3 = 0").withColumn("key", F.lit("third"))
+    return sets.sdiff(t.users().unionByName(third), ["click", "third"])
+
+
+@query("q_sintercard", "SELECT least(count(*), 20) AS n FROM (SELECT member FROM users WHERE key = 'click' INTERSECT SELECT member FROM users WHERE key = 'view')")
+def _(t):
+    return sets.sintercard(t.users(), ["click", "view"], 20)
+
+
+@query("q_scard", "SELECT key, count(*) AS n FROM users GROUP BY key")
+def _(t):
+    return sets.scard(t.users()).select("key", "n")
+
+
+@query("q_smismember", "SELECT CAST(a.pos AS BIGINT) AS pos, a.member, CAST(u.member IS NOT NULL AS BIGINT) AS is_member FROM (VALUES (0, '5'), (1, 'x'), (2, '17')) a(pos, member) LEFT JOIN users u ON u.member = a.member AND u.key = 'view'")
+def _(t):
+    asked = t.asked([(0, "view", 0, "5"), (0, "view", 1, "x"), (0, "view", 2, "17")], "db int, key string, pos int, member string")
+    return sets.smismember(t.users(), asked).select("pos", "member", "is_member")
+
+
+@query("q_smove", "SELECT DISTINCT CASE WHEN key = 'view' AND member = '5' THEN 'seen' ELSE key END AS key, member FROM users")
+def _(t):
+    return sets.smove(t.users(), "view", "seen", "5").select("key", "member")
+
+
+@query("q_sunionstore", "SELECT key, member FROM users WHERE key <> 'error' UNION ALL SELECT DISTINCT 'error', member FROM users WHERE key IN ('click', 'view')")
+def _(t):
+    return sets.store(t.users(), "error", sets.sunion(t.users(), ["click", "view"])).select("key", "member")
+
+
+@query("q_sadd_new", "SELECT key, count(*) AS added FROM users WHERE CAST(member AS BIGINT) >= 50 GROUP BY key")
+def _(t):
+    return sets.added(t.users(), t.users().where("cast(member as bigint) < 50")).select("key", "added")
+
+
+# sorted sets
+
+_RANKED = "SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank, count(*) OVER (PARTITION BY key) AS n FROM board"
+
+
+@query("q_zrank", f"SELECT key, member, score, rank FROM ({_RANKED}) WHERE member IN ('7', '42')")
+def _(t):
+    keys = t.board().select(*KEY).distinct()
+    asked = keys.withColumn("member", F.explode(F.array(F.lit("7"), F.lit("42"), F.lit("none"))))
+    return zsets.zrank(t.board(), asked).select("key", "member", "score", "rank")
+
+
+@query("q_zrange", f"SELECT key, member, score, rank FROM ({_RANKED}) WHERE rank BETWEEN 2 AND n - 140")
+def _(t):
+    return zsets.zrange(t.board(), 2, -140).select("key", "member", "score", "rank")
+
+
+@query("q_zrangebyscore", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS r FROM board WHERE score > 300 AND score <= 900) WHERE r BETWEEN 1 AND 5")
+def _(t):
+    return zsets.zrangebyscore(t.board(), "(300", 900, offset=1, count=5).select("key", "member", "score")
+
+
+@query("q_zrevrangebyscore", "SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS r FROM board WHERE score >= 300) WHERE r < 4")
+def _(t):
+    return zsets.zrangebyscore(t.board(), 300, "+inf", reverse=True, count=4).select("key", "member", "score")
+
+
+@query("q_zrangebylex", "SELECT key, member FROM board WHERE member >= '12' AND member < '14'")
+def _(t):
+    return zsets.zrangebylex(t.board(), "[12", "(14").select("key", "member")
+
+
+@query("q_zcount", "SELECT key, count(*) AS n FROM board WHERE score >= 100 AND score < 800 GROUP BY key")
+def _(t):
+    return zsets.zcount(t.board(), 100, "(800").select("key", "n")
+
+
+@query("q_zlexcount", "SELECT key, count(*) AS n FROM board WHERE member > '3' GROUP BY key")
+def _(t):
+    return zsets.zlexcount(t.board(), "(3", "+").select("key", "n")
+
+
+@query("q_zpop", f"SELECT key, member, score FROM ({_RANKED}) WHERE rank < 3")
+def _(t):
+    return zsets.zpop(t.board(), 3)[0].select("key", "member", "score")
+
+
+@query("q_zremrange", f"SELECT key, member, score FROM ({_RANKED}) WHERE rank < n - 10 AND score <= 1000")
+def _(t):
+    left = zsets.zremrangebyrank(t.board(), -10, -1)
+    return zsets.zremrangebyscore(left, "(1000", "+inf").select("key", "member", "score")
+
+
+@query("q_zmscore", "SELECT CAST(a.pos AS BIGINT) AS pos, a.member, score FROM (VALUES (0, '5'), (1, 'x'), (2, '17')) a(pos, member) LEFT JOIN board b ON b.member = a.member AND b.key = 'view'")
+def _(t):
+    asked = t.asked([(0, "view", 0, "5"), (0, "view", 1, "x"), (0, "view", 2, "17")], "db int, key string, pos int, member string")
+    return zsets.zmscore(t.board(), asked).select("pos", "member", "score")
+
+
+@query("q_zunion_sum", "SELECT member, round(sum(CASE key WHEN 'click' THEN 2 * score ELSE 0.5 * score END), 3) AS score FROM board WHERE key IN ('click', 'view') GROUP BY member")
+def _(t):
+    return zsets.combine(t.board(), ["click", "view"], "union", [2, 0.5]).withColumn("score", F.round("score", 3))
+
+
+@query("q_zunion_min", "SELECT member, min(score) AS score FROM board WHERE key IN ('click', 'view') GROUP BY member")
+def _(t):
+    return zsets.combine(t.board(), ["click", "view"], "union", aggregate="min")
+
+
+@query("q_zunion_max", "SELECT member, max(score) AS score FROM (SELECT key, member, score FROM board UNION ALL SELECT 'seg', member, 1.0 FROM segs) WHERE key IN ('click', 'seg') GROUP BY member")
+def _(t):
+    plain = t.segs().withColumn("key", F.lit("seg")).distinct()
+    return zsets.combine(t.board(), ["click", "seg"], "union", aggregate="max", plain=plain)
+
+
+@query("q_zinter_weights", "SELECT member, max(CASE key WHEN 'click' THEN 3 * score ELSE score END) AS score FROM board WHERE key IN ('click', 'error') GROUP BY member HAVING count(*) = 2")
+def _(t):
+    return zsets.combine(t.board(), ["click", "error"], "inter", [3, 1], "max")
+
+
+@query("q_zdiff", "SELECT member, score FROM board WHERE key = 'click' AND member NOT IN (SELECT member FROM segs)")
+def _(t):
+    plain = t.segs().withColumn("key", F.lit("seg")).distinct()
+    return zsets.combine(t.board(), ["click", "seg"], "diff", plain=plain)
+
+
+@query("q_zintercard", "SELECT least(count(*), 30) AS n FROM (SELECT member FROM board WHERE key IN ('click', 'error') GROUP BY member HAVING count(*) = 2)")
+def _(t):
+    return zsets.zintercard(t.board(), ["click", "error"], 30)
+
+
+def _zlog(t):
+    return t.log().select("db", F.col("cmd").alias("key"), F.col("key").alias("member"), F.col("value").alias("score"), "seq")
+
+
+@query("q_zadd_gt", "SELECT cmd AS key, key AS member, max(value) AS score FROM log GROUP BY 1, 2")
+def _(t):
+    return zsets.zadd(_zlog(t), "gt").select("key", "member", "score")
+
+
+@query("q_zadd_lt", "SELECT cmd AS key, key AS member, min(value) AS score FROM log GROUP BY 1, 2")
+def _(t):
+    return zsets.zadd(_zlog(t), "lt").select("key", "member", "score")
+
+
+@query("q_zadd_nx", "SELECT cmd AS key, key AS member, arg_min(value, seq) AS score FROM log GROUP BY 1, 2")
+def _(t):
+    return zsets.zadd(_zlog(t), "nx").select("key", "member", "score")
+
+
+@query("q_zadd_ch", """SELECT n.key, count(*) FILTER (o.score IS NULL) AS added, count(*) FILTER (o.score IS NULL OR o.score <> n.score) AS changed
+  FROM (SELECT cmd AS key, key AS member, arg_max(value, seq) AS score FROM log WHERE seq >= 5000 GROUP BY 1, 2) n
+  LEFT JOIN (SELECT cmd AS key, key AS member, arg_max(value, seq) AS score FROM log WHERE seq < 5000 GROUP BY 1, 2) o USING (key, member) GROUP BY n.key""")
+def _(t):
+    z = _zlog(t)
+    return zsets.zadd_changes(z.where("seq >= 5000"), zsets.zadd(z.where("seq < 5000"))).select("key", "added", "changed")
+
+
+# bitmaps and sketches
+
+
+@query("q_bitcount", "SELECT key, count(*) AS n FROM bits GROUP BY key")
+def _(t):
+    return bitmaps.bitcount(t.bits()).select("key", "n")
+
+
+@query("q_bitcount_range", "SELECT key, count(*) AS n FROM bits WHERE bit BETWEEN 8 AND 23 GROUP BY key")
+def _(t):
+    return bitmaps.bitcount(t.bits(), 8, 23, "bit").select("key", "n")
+
+
+@query("q_bitpos", "SELECT key, min(bit) AS one, (SELECT min(d) FROM range(0, 40) r(d) WHERE d NOT IN (SELECT bit FROM bits c WHERE c.key = bits.key)) AS zero FROM bits GROUP BY key")
+def _(t):
+    ones = bitmaps.bitpos(t.bits(), 1).withColumnRenamed("pos", "one")
+    return ones.join(bitmaps.bitpos(t.bits(), 0).withColumnRenamed("pos", "zero"), KEY).select("key", "one", "zero")
+
+
+_COUNTED = "(SELECT bit, count(*) AS n, max(CAST(key = 'click' AS INT)) AS f FROM tbits WHERE key IN ('click', 'view', 'error') GROUP BY bit)"
+for _op, _having in {
+    "and": "n = 3", "or": "n >= 1", "xor": "n % 2 = 1", "one": "n = 1", "diff": "f = 1 AND n = 1", "diff1": "f = 0", "andor": "f = 1 AND n > 1",
+}.items():
+    query(f"q_bitop_{_op}", f"SELECT bit FROM {_COUNTED} WHERE {_having}")(lambda t, op=_op: bitmaps.bitop(t.tbits(), op, ["click", "view", "error"]))
+
+
+@query("q_bitop_not", "SELECT d AS bit FROM range(0, 3000) r(d) WHERE d NOT IN (SELECT bit FROM tbits WHERE key = 'click')")
+def _(t):
+    return bitmaps.bitop(t.tbits(), "NOT", ["click"], length=375)
+
+
+@query("q_bitfield_sat", "SELECT seq, least(greatest(cents - 300, -128), 127) AS value FROM log")
+def _(t):
+    return t.log().select("seq", bitmaps.bitfield_incr("cents", -300, 8, True, "SAT").alias("value"))
+
+
+@query("q_bitfield_wrap", "SELECT seq, ((cents - 300 + 128) % 256 + 256) % 256 - 128 AS value FROM log")
+def _(t):
+    return t.log().select("seq", bitmaps.bitfield_incr("cents", -300, 8, True, "WRAP").alias("value"))
+
+
+@query("q_bitfield_get", "SELECT key, CAST(sum(CASE WHEN bit BETWEEN 4 AND 8 THEN 1 << CAST(8 - bit AS INT) ELSE 0 END) AS BIGINT) AS value FROM bits GROUP BY key")
+def _(t):
+    return bitmaps.bitfield_get(t.bits(), 5, 4, signed=False).select("key", "value")
+
+
+@query("q_pfcount_registers")
+def _(t):
+    return hll.pfcount(hll.pfadd(shaped(t.raw("events"), key="event_type", element=t.user))).select("key", "n")
+
+
+@query("q_pfcount_library")
+def _(t):
+    return hll.library_count(hll.library_sketch(shaped(t.raw("lineitem"), key="l_returnflag", element="l_partkey"))).select("key", "n")
+
+
+# sort
+
+
+@query("q_sort_by_get", "SELECT CAST(n_nationkey AS BIGINT) AS ord, CAST(n_nationkey AS VARCHAR) AS member, n_name AS get_0 FROM nation LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS w FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey ORDER BY coalesce(w, 0) DESC, n_nationkey LIMIT 10 OFFSET 2")
+def _(t):
+    n = t.raw("nation")
+    w = t.raw("supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("w"))
+    weights = shaped(w, key=F.concat(F.lit("weight_"), F.col("s_nationkey")), value=F.col("w").cast("string"))
+    names = shaped(n, key=F.concat(F.lit("name_"), F.col("n_nationkey")), value="n_name")
+    members = n.select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("member"))
+    got = sorting.sort(members, weights.unionByName(names), by="weight_*", get=("name_*",), reverse=True, offset=2, count=10)
+    return got.select("ord", "member", "get_0")
+
+
+@query("q_sort_alpha_limit", "SELECT DISTINCT member FROM users WHERE key = 'view' ORDER BY member LIMIT 12")
+def _(t):
+    members = t.users().where("key = 'view'").select(F.lit(0).alias("ord"), "member")
+    return sorting.sort(members, alpha=True, count=12).select("member")
+
+
+# statistics
+
+
+@query("q_commandstats", "SELECT cmd, count(*) AS calls, CAST(sum(usec) AS BIGINT) AS usec, count(err) AS failed FROM ops GROUP BY cmd")
+def _(t):
+    return stats.commandstats(t.ops())
+
+
+@query("q_latency_histogram", "SELECT cmd, le, CAST(sum(n) OVER (PARTITION BY cmd ORDER BY le NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cumulative FROM (SELECT cmd, (SELECT min(b) FROM (VALUES " + ", ".join(f"({b})" for b in stats.LATENCY_BOUNDS_US) + ") v(b) WHERE b >= usec)::BIGINT AS le, count(*) AS n FROM ops GROUP BY 1, 2)")
+def _(t):
+    return stats.latency_histogram(t.ops()).select("cmd", "le", "cumulative")
+
+
+@query("q_slowlog", "SELECT seq, cmd, usec FROM ops WHERE usec >= 1500 ORDER BY seq DESC LIMIT 128")
+def _(t):
+    return stats.slowlog(t.ops(), 1500).select("seq", "cmd", "usec")
+
+
+@query("q_hotkeys", "SELECT key, CAST(sum(usec) AS BIGINT) AS weight FROM ops GROUP BY key ORDER BY weight DESC, key LIMIT 15")
+def _(t):
+    return stats.hotkeys(t.ops(), "usec", 15)
+
+
+@query("q_hotkeys_approx")
+def _(t):
+    return stats.hotkeys_approx(t.ops(), 10)
+
+
+@query("q_ops_rate", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, count(*) / 21600.0::DOUBLE AS per_second FROM ops GROUP BY 1")
+def _(t):
+    return stats.ops_rate(t.ops().withColumn("ts", F.col("ts").cast("timestamp")), "6 hours").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("q_range_query", "SELECT cmd AS label, time_bucket(INTERVAL 1 DAY, ts) AS step_start, arg_max(usec, ts) AS value FROM ops GROUP BY 1, 2")
+def _(t):
+    series = t.ops().select(F.col("cmd").alias("label"), F.col("ts").cast("timestamp").alias("ts"), F.col("usec").alias("value"))
+    return stats.range_query(series, "1 day").withColumn("step_start", F.col("step_start").cast("timestamp_ntz"))
+
+
+@query("q_evict_lfu", "SELECT key, freq FROM (SELECT *, sum(bytes) OVER (ORDER BY freq, key ROWS UNBOUNDED PRECEDING) - bytes AS before, sum(bytes) OVER () AS total FROM (SELECT key, count(*) AS freq, CAST(sum(usec) AS BIGINT) AS bytes FROM ops GROUP BY key)) WHERE before < total - total // 2")
+def _(t):
+    e = t.ops().groupBy(*KEY).agg(F.count(F.lit(1)).alias("freq"), F.sum("usec").alias("bytes")).withColumn("idle_ms", F.lit(0)).withColumn("expire_at", F.lit(None).cast("bigint"))
+    total = e.agg(F.sum("bytes")).first()[0]
+    return stats.evict(e, total // 2).select("key", "freq")
+
+
+@query("q_evict_volatile", f"SELECT key FROM (SELECT key, row_number() OVER (ORDER BY expire_at, key) AS r FROM keys WHERE expire_at IS NOT NULL) WHERE r <= (SELECT count(*) FROM keys) - 9500 * (SELECT count(*) FROM keys) // 10000")
+def _(t):
+    e = t.keys().withColumn("bytes", F.lit(1).cast("bigint")).withColumn("freq", F.lit(0)).withColumn("idle_ms", F.lit(0))
+    return stats.evict(e, 9500 * t.keys().count() // 10000, "volatile-ttl").select("key")
+
+
+# clusters, persistence, replication
+
+
+@query("q_slot_histogram")
+def _(t):
+    return persist.reshard(t.keys(), 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"))
+
+
+@query("q_slot_ranges", "SELECT node, min(slot) AS first, max(slot) AS last FROM (SELECT slot, node, slot - row_number() OVER (PARTITION BY node ORDER BY slot) AS island FROM (SELECT range AS slot, (range // 1000) % 3 AS node FROM range(16384))) GROUP BY node, island")
+def _(t):
+    owners = t.spark.range(16384).select(F.col("id").alias("slot"), (F.floor(F.col("id") / 1000) % 3).alias("node"))
+    return persist.slot_ranges(owners)
+
+
+@query("q_rebalance_moves", "SELECT slot, from_node, CAST(2 AS BIGINT) AS to_node FROM (SELECT range AS slot, CAST(range >= 8192 AS BIGINT) AS from_node, row_number() OVER (PARTITION BY range >= 8192 ORDER BY range) AS nth FROM range(16384)) WHERE nth > CASE from_node WHEN 0 THEN 5462 ELSE 5461 END")
+def _(t):
+    owners = t.spark.range(16384).select(F.col("id").alias("slot"), (F.col("id") >= 8192).cast("int").alias("node"))
+    return persist.rebalance_moves(owners, 3)
+
+
+@query("q_delta_fold", "SELECT CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderpriority, (o_orderkey % 3, o_orderkey)) AS value FROM orders GROUP BY 1 HAVING arg_max(o_orderstatus, (o_orderkey % 3, o_orderkey)) <> 'F'")
+def _(t):
+    o = t.raw("orders")
+    op = F.when(F.col("o_orderstatus") == "F", "tombstone").otherwise("put")
+    rows = shaped(o, key=F.col("o_custkey").cast("string"), value="o_orderpriority", delta_no=F.col("o_orderkey") % 3, rec_no="o_orderkey", op=op)
+    base = rows.where("delta_no = 0").drop("delta_no", "rec_no")
+    deltas = rows.withColumn("delta_no", F.col("delta_no").cast("int"))
+    return persist.fold_deltas(base.limit(0), deltas).select("key", "value")
+
+
+@query("q_repl_gaps", "SELECT shard, off, prev FROM (SELECT event_type AS shard, event_id AS off, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS prev FROM events) WHERE off - prev > 15")
+def _(t):
+    log = t.raw("events").select(F.col("event_type").alias("shard"), F.col("event_id").alias("off"))
+    return persist.gaps(log).where("off - prev > 15")
+
+
+@query("q_replica_lag", "SELECT shard, node, greatest(head - acked, 0) AS lag FROM (SELECT event_type AS shard, max(event_id) AS head FROM events GROUP BY 1) JOIN (SELECT event_type AS shard, user_id % 3 AS node, max(event_id) AS acked FROM events GROUP BY 1, 2) USING (shard)")
+def _(t):
+    e = t.raw("events").withColumnRenamed("event_type", "shard")
+    heads = e.groupBy("shard").agg(F.max("event_id").alias("head"))
+    acks = e.groupBy("shard", (F.col("user_id") % 3).alias("node")).agg(F.max("event_id").alias("acked"))
+    return persist.lag(heads, acks).select("shard", "node", "lag")
+
+
+@query("q_repl_apply", "SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_id) AS value FROM events WHERE event_id > 100 GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
+def _(t):
+    e = t.raw("events")
+    log = shaped(e, key=t.user, shard=F.lit(0), off="event_id", op=F.when(F.col("event_type") == "error", "del").otherwise("put"), value="event_type")
+    return persist.apply_log(log.unionByName(log), t.asked([(0, 100)], "shard int, applied bigint")).select("key", "value")
+
+
+# transactions, locks and push features
+
+
+@query("q_txn_exec", "SELECT event_id // 10 AS txn, count(*) AS n_commands, CASE WHEN bool_or(event_type = 'error' AND user_id < 20) THEN 'EXECABORT' ELSE 'done' END AS fate FROM events GROUP BY 1")
+def _(t):
+    e = t.raw("events")
+    ops = e.select(F.floor(F.col("event_id") / 10).alias("txn"), "ts", ((F.col("event_type") == "error") & (F.col("user_id") < 20)).alias("queue_err"))
+    return fold.exec_transactions(ops).select("txn", "n_commands", "fate")
+
+
+@query("q_watch_abort", "SELECT w.event_id AS txn, CAST(w.user_id AS VARCHAR) AS key, count(x.event_id) > 0 AS dirty FROM (SELECT * FROM events WHERE event_type = 'view') w LEFT JOIN events x ON x.user_id = w.user_id AND x.event_type = 'purchase' AND x.event_id > w.event_id AND x.event_id < w.event_id + 200 GROUP BY 1, 2")
+def _(t):
+    e = t.log()
+    watches = e.where("cmd = 'view'").select(F.col("seq").alias("txn"), *KEY, "seq", (F.col("seq") + 200).alias("exec_seq"))
+    return fold.watch_dirty(watches, e.where("cmd = 'purchase'")).select("txn", "key", "dirty")
+
+
+@query("q_ordered_fold")
+def _(t):
+    cmd = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "SETNX"), ("click", "SET"), ("purchase", "APPEND"), ("signup", "GETSET"), ("error", "DEL")) for x in p)), F.col("cmd"))
+    ops = t.log().select(*KEY, "seq", cmd.alias("cmd"), F.col("cents").cast("string").alias("arg"))
+    return fold.ordered_strings(ops).select("key", "seq", "cmd", "reply", "err", "value")
+
+
+@query("q_keyevents", "SELECT seq, '__keyevent@0__:' || cmd AS channel, key AS payload FROM ops WHERE cmd IN ('click', 'error')")
+def _(t):
+    return stats.keyspace_events(t.ops(), "E$e", {"$": "click", "e": "error", "z": "view"})
+
+
+@query("q_pubsub_fanout", "SELECT seq, cmd AS channel, c_custkey AS conn FROM ops JOIN (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'none' END AS ch FROM customer WHERE c_custkey < 6) ON ch = cmd")
+def _(t):
+    subs = t.raw("customer").where("c_custkey < 6").select(F.col("c_custkey").alias("conn"), F.expr("CASE c_custkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'none' END").alias("channel"))
+    return stats.publish(t.ops().select("seq", F.col("cmd").alias("channel")), subs).select("seq", "channel", "conn")
+
+
+@query("q_pattern_sub", "SELECT seq, cmd AS channel, CAST(conn AS BIGINT) AS conn FROM ops JOIN (VALUES (1, 'c*'), (2, '*e[vr]*'), (3, 'v?ew')) p(conn, pat) ON cmd GLOB pat")
+def _(t):
+    subs = t.asked([], "conn int, channel string")
+    got = stats.publish(t.ops().select("seq", F.col("cmd").alias("channel")), subs, [(1, "c*"), (2, "*e[vr]*"), (3, "v?ew")])
+    return got.select("seq", "channel", "conn")
+
+
+@query("q_numsub", "SELECT event_type AS channel, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
+def _(t):
+    return stats.numsub(t.raw("events").select(F.col("event_type").alias("channel"), F.col("user_id").alias("conn")))
+
+
+@query("q_tracking_invalidate", "SELECT r.event_id AS seq, r.user_id % 7 AS conn, min(w.event_id) AS write_seq FROM events r JOIN events w ON w.user_id = r.user_id AND w.event_type = 'purchase' AND w.event_id > r.event_id WHERE r.event_type = 'view' GROUP BY 1, 2")
+def _(t):
+    e = t.log().withColumn("conn", F.col("key").cast("bigint") % 7)
+    return fold.invalidations(e.where("cmd = 'view'"), e.where("cmd = 'purchase'")).select("seq", "conn", "write_seq")
+
+
+@query("q_blpop_match", "SELECT w.key, w.seq, p.seq AS push_seq FROM (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM log WHERE cmd = 'view') w LEFT JOIN (SELECT key, seq, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM log WHERE cmd = 'click') p USING (key, k)")
+def _(t):
+    e = t.log()
+    waits = e.where("cmd = 'view'").select(*KEY, "seq", F.lit(0).alias("conn"))
+    return fold.match_waiters(waits, e.where("cmd = 'click'").select(*KEY, "seq", "value")).select("key", "seq", "push_seq")
+
+
+@query("q_wait_acks", "SELECT event_type AS shard, count(DISTINCT user_id % 3) AS replicas FROM events WHERE event_id > 50 GROUP BY 1")
+def _(t):
+    return t.raw("events").where("event_id > 50").groupBy(F.col("event_type").alias("shard")).agg(F.countDistinct(F.col("user_id") % 3).alias("replicas"))
+
+
+@query("q_command_catalog")
+def _(t):
+    from keyloom.catalog import catalog
+
+    return catalog(t.spark)
 
 
 def queries() -> dict:
-    return {}
+    """Name and function of each query."""
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL can express."""
+    return dict(_SQL)
