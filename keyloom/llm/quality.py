@@ -123,7 +123,8 @@ def fit_trees(x, y, monotone, rounds=60, depth=4, rate=0.15, bins=48, least=12,
     midpoint bounds all leaves below either side, so the whole tree is monotone in that feature.
     """
     x, y = np.asarray(x, float), np.asarray(y, float)
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+    marks = np.linspace(0, 1, bins + 1)[1:-1]
+    cuts = [np.unique(np.quantile(x[:, f], marks)) if len(x) else np.zeros(0) for f in range(x.shape[1])]
     coded = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
     prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     base = float(np.log(prior / (1 - prior)))
