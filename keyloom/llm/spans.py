@@ -75,7 +75,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = F.struct("doc_id", "first")
     seen = all_runs.groupBy("h").agg(F.min(place).alias("place0"), F.max(place).alias("place1"))
     seen = seen.where("place0 <> place1").select("h", F.col("place0.doc_id").alias("d0"), F.col("place0.first").alias("f0"))
-    return all_runs.join(seen, "h").where("doc_id <> d0 or first <> f0").select("doc_id", "first", "n")
+    # written out, so that the join has an exchange of its own and a frequent hash can be split
+    return all_runs.join(spool(seen), "h").where("doc_id <> d0 or first <> f0").select("doc_id", "first", "n")
 
 
 def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
