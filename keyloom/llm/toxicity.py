@@ -26,6 +26,7 @@ SAMPLE_ROWS = 8000
 POSITIVE_WORDS, NEGATIVE_WORDS = 1500, 12000
 LANDMARKS = 160
 HARD_ROUNDS = 2
+PARTITIONS = 6
 #: Log likelihood gain from which a word counts as an insult.
 EVIDENCE = 9.0
 DECAY, SPREAD = 0.8, 6
@@ -224,7 +225,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
             yield record([[a for a, _ in got], [int(b > 0) for _, b in got]], out)
 
     counted = map_arrow(sample, ["text", "__y"], out, words).groupBy("word").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-    counted = counted.withColumn("good", F.col("n") - F.col("bad")).persist()
+    # a bounded table: few partitions, as each sends its own best words to the driver
+    counted = counted.withColumn("good", F.col("n") - F.col("bad")).coalesce(PARTITIONS).persist()
     try:
         # how much likelier the counts of a word are at its own rate than at the overall one
         own, base = F.col("bad") / F.col("n"), n_bad / n_all
