@@ -2,13 +2,19 @@
 
 From every sentence of a text starts one run of several consecutive sentences.  Runs are hashed and
 joined globally; a sentence goes when any run that covers it was seen earlier, in document order.
+
+Passages are often copied from the middle of one sentence to the middle of another, so what counts as a
+sentence here may be a part of one: besides marks and line ends, about every tenth word, chosen by its
+own hash, ends one.  Copies are cut alike wherever they stand.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +22,48 @@ from pyspark.sql import types as T
 
 from .common import map_arrow, record, spool, text_rows
 
-#: A run has at least so many sentences; two do if they are long; and never fewer words than the last.
-SENTENCES, LONG_PAIR_WORDS, LEAST_WORDS = 3, 24, 9
-_SENTENCE = regex.compile(r"[^.!?\n]*(?:[.!?]+(?=\s|$)|\n|$|[.!?]+)")
+#: A run has at least three sentences and twelve words, or two sentences and sixteen words.
+LEAST_WORDS, PAIR_WORDS = 12, 16
+#: One of so many words ends a sentence by its hash.
+CUT = 10
+#: Words whose verdict a worker remembers.
+REMEMBERED = 300_000
+_WORD = re.compile(r"\S+\s*")
+
+
+class _Ends(dict):
+    """Whether a sentence ends with a word and the white space behind it."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > REMEMBERED:
+            self.clear()
+        bare = word.rstrip()
+        ends = bare[-1] in ".!?" or "\n" in word[len(bare) :] or zlib.crc32(bare.lower().encode()) % CUT == 0
+        self[word] = ends
+        return ends
+
+
+_ENDS = _Ends()
+
+
+def _cut(text: str) -> tuple[list[str], list[int]]:
+    """Words with the white space behind them, and the number of words up to each sentence's end."""
+    words = _WORD.findall(text)
+    ends = np.flatnonzero(np.fromiter(map(_ENDS.__getitem__, words), dtype=bool, count=len(words))) + 1
+    ends = ends.tolist()
+    if words and (not ends or ends[-1] < len(words)):
+        ends.append(len(words))
+    return words, ends
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of a text's sentences; together they cover it, and each has a word."""
-    out: list[tuple[int, int]] = []
-    for m in _SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b:
-            continue
-        if out and not text[a:b].strip(" \t\r\n.!?"):
-            out[-1] = (out[-1][0], b)  # white space and marks stay with the sentence before
-        else:
-            out.append((a, b))
-    return out
+    """Spans of a text's sentences; together they cover a text that has a word."""
+    words, ends = _cut(text)
+    if not words:
+        return []
+    reach = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    stops = (reach[np.array(ends) - 1] + (len(text) - int(reach[-1]))).tolist()  # white space in front is the first's
+    return list(zip([0, *stops[:-1]], stops, strict=True))
 
 
 def runs(text: str) -> list[tuple[int, int, int]]:
@@ -41,17 +72,16 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     How far a run reaches depends on its own words only, so the same passage gives the same runs
     wherever it stands.
     """
-    words = [text[a:b].lower().split() for a, b in sentences(text)]
-    out = []
-    for i in range(len(words)):
-        n = 0
-        for j in range(i, len(words)):
-            n += len(words[j])
-            k = j - i + 1
-            if n >= LEAST_WORDS and (k >= SENTENCES or k == 2 and n >= LONG_PAIR_WORDS):
-                key = " ".join([" ".join(w) for w in words[i : j + 1]])
-                out.append((xxhash.xxh64_intdigest(key.encode()), i, k))
-                break
+    words, ends = _cut(text)
+    starts, out = [0, *ends[:-1]], []
+    for i, a in enumerate(starts):
+        j = i + 1
+        while j < len(ends) and ends[j] - a < (PAIR_WORDS if j == i + 1 else LEAST_WORDS):
+            j += 1
+        if j >= len(ends):
+            break
+        key = " ".join("".join(words[a : ends[j]]).lower().split())
+        out.append((xxhash.xxh64_intdigest(key.encode()), i, j - i + 1))
     return out
 
 
@@ -73,8 +103,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     all_runs = spool(map_arrow(docs.where("doc_id is not null"), ["doc_id", text_col], out, work))
     place = F.struct("doc_id", "first")
-    seen = all_runs.groupBy("h").agg(F.min(place).alias("place0"), F.max(place).alias("place1"))
-    seen = seen.where("place0 <> place1").select("h", F.col("place0.doc_id").alias("d0"), F.col("place0.first").alias("f0"))
+    seen = all_runs.groupBy("h").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("c"))
+    seen = seen.where("c > 1").select("h", F.col("p.doc_id").alias("d0"), F.col("p.first").alias("f0"))
     # written out, so that the join has an exchange of its own and a frequent hash can be split
     return all_runs.join(spool(seen), "h").where("doc_id <> d0 or first <> f0").select("doc_id", "first", "n")
 
