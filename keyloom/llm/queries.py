@@ -34,7 +34,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = spans.dedup_spans(read_table(spark, sf_dir, "documents"))
     return cut.select(
-        "doc_id", "n_sentences", "n_removed", F.size("spans").alias("n_spans"),
+        "doc_id", "n_removed", F.size("spans").alias("n_spans"),
         F.length("kept").alias("n_chars_kept"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
     )
 

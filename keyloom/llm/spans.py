@@ -112,24 +112,27 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Texts without the sentences of later copies.
 
-    Returns ``doc_id``, ``n_sentences``, ``n_removed``, ``spans`` (removed character ranges, joined where
-    they touch) and ``kept`` (what is left).  The first occurrence of a passage stays.  A null or empty
+    Returns ``doc_id``, ``n_removed`` (sentences), ``spans`` (removed character ranges, joined where they
+    touch) and ``kept`` (what is left).  The first occurrence of a passage stays.  A null or empty
     text has no sentence and gives the empty text; rows come out as often as they go in; a null
     ``doc_id`` is left as it is; other columns are ignored.
     """
     spans = repeated_spans(docs, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("hits"))
     joined = docs.select("doc_id", F.col(text_col).alias("text")).join(spans, "doc_id", "left")
     schema = T.StructType.fromDDL(
-        "doc_id long, n_sentences int, n_removed int, spans array<struct<start:int,stop:int>>, kept string"
+        "doc_id long, n_removed int, spans array<struct<start:int,stop:int>>, kept string"
     )
 
     def work(batches):
         for batch in batches:
             rows = []
             for i, text, hits in zip(batch.column("doc_id").to_pylist(), text_rows(batch), batch.column("hits").to_pylist(), strict=True):
+                if not hits:  # most texts aren't cut up again
+                    rows.append((i, 0, [], text))
+                    continue
                 where = sentences(text)
                 gone = np.zeros(len(where), dtype=bool)
-                for h in hits or ():
+                for h in hits:
                     gone[h["first"] : h["first"] + h["n"]] = True
                 cut, kept, at = [], [], 0
                 for k in np.flatnonzero(gone).tolist():
@@ -141,7 +144,7 @@ def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 for c in cut:
                     kept.append(text[at : c["start"]])
                     at = c["stop"]
-                rows.append((i, len(where), int(gone.sum()), cut, "".join([*kept, text[at:]])))
-            yield record([list(c) for c in zip(*rows, strict=True)] or [[]] * 5, schema)
+                rows.append((i, int(gone.sum()), cut, "".join([*kept, text[at:]])))
+            yield record([list(c) for c in zip(*rows, strict=True)] or [[]] * 4, schema)
 
     return map_arrow(joined, ["doc_id", "text", "hits"], schema, work)
