@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import lex_within, resolve_range, score_within
+from keyloom.plans.ranges import rank_in_keys
 from keyloom.sources.model import KEY
 
 MEMBER = [*KEY, "member"]
@@ -34,15 +35,31 @@ def zadd_changes(writes: DataFrame, existing: DataFrame) -> DataFrame:
     return both.groupBy(*KEY).agg(F.count_if(F.col("score").isNull()).alias("added"), F.count_if(changed).alias("changed"))
 
 
-def ranked(zset: DataFrame, reverse: bool = False) -> DataFrame:
-    """Add ``rank`` from 0, ascending or descending in both score and member."""
+def ranked(zset: DataFrame, reverse: bool = False, hot: bool = False) -> DataFrame:
+    """Add ``rank`` from 0, ascending or descending in both score and member.
+
+    A window ranks each key in one task, and Spark limits it early for the first ranks; with ``hot``, keys
+    of any size are ranked over a range partitioning instead.
+    """
+    if hot:
+        order = [F.col(c).desc() if reverse else F.col(c).asc() for c in ("score", "member")]
+        return rank_in_keys(zset, KEY, order)
     way = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
     return zset.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(way("score"), way("member"))) - 1)
 
 
 def zrank(zset: DataFrame, asked: DataFrame, reverse: bool = False) -> DataFrame:
-    """ZRANK and ZREVRANK WITHSCORE of (db, key, member) rows."""
-    return ranked(zset, reverse).join(asked.select(*MEMBER), MEMBER, "left_semi")
+    """ZRANK and ZREVRANK WITHSCORE of (db, key, member) rows.
+
+    Ranks of a few members need no sort: the rows of their keys before each of them are counted.
+    """
+    wanted = asked.select(*MEMBER).distinct().join(zset, MEMBER).select(*KEY, F.struct("score", "member").alias("w"))
+    places = wanted.groupBy(*KEY).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    own = F.struct("score", "member")
+    hits = F.filter("ws", lambda w: (own > w) if reverse else (own < w))
+    before = zset.join(places, KEY).select(*KEY, F.explode(hits).alias("w")).groupBy(*KEY, "w").agg(F.count(F.lit(1)).alias("rank"))
+    got = wanted.join(before, [*KEY, "w"], "left")
+    return got.select(*KEY, F.col("w.member").alias("member"), F.col("w.score").alias("score"), F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 def zmscore(zset: DataFrame, asked: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import col
+from keyloom.plans.ranges import total_order
 
 #: Upper bounds of the latency buckets in microseconds; one more bucket has no bound.
 LATENCY_BOUNDS_US = [1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000, 500000, 1000000]
@@ -77,8 +78,8 @@ def evict(entries: DataFrame, budget: int, policy: str = "allkeys-lfu", seed: in
 
     ``entries`` has (db, key, bytes, freq, idle_ms, expire_at).  The policy sets the order in which keys go:
     least frequent, longest idle, nearest deadline, or random; ``volatile-`` ones take only keys with a
-    deadline; ``noeviction`` takes none.  The running total is taken by order value first, then inside
-    equal ones, so no task sees all keys.
+    deadline; ``noeviction`` takes none.  The running total is taken over a range partitioning, so no task
+    sees all keys.
     """
     scope, _, how = policy.partition("-")
     if policy == "noeviction":
@@ -96,13 +97,8 @@ def evict(entries: DataFrame, budget: int, policy: str = "allkeys-lfu", seed: in
     need = over - budget
     if need <= 0:
         return pool.limit(0).drop("ord").withColumn("freed", F.lit(0).cast("bigint"))
-    # equal order values together first: their totals say which value the cut falls in
-    sums = pool.groupBy("ord").agg(F.sum("bytes").alias("total"))
-    before = sums.withColumn("base", F.sum("total").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.withColumn("base", F.coalesce("base", F.lit(0))).where(F.col("base") < need).drop("total")
-    inside = Window.partitionBy("ord").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    got = pool.join(before, "ord").withColumn("freed", F.col("base") + F.sum("bytes").over(inside))
-    return got.where(F.col("freed") - F.col("bytes") < need).drop("ord", "base")
+    got = total_order(pool, ["ord", "key"], "bytes").withColumnRenamed("upto", "freed")
+    return got.where(F.col("freed") - F.col("bytes") < need).drop("ord", "ix")
 
 
 #: Event class letters by command, as keyspace notifications name them.

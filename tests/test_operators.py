@@ -175,3 +175,20 @@ def test_workload(spark):
     w = persist.zipf_workload(spark, 4000, 1000)
     top = w.groupBy("key").count().orderBy(F.col("count").desc()).first()
     assert top.key == "key:0" and w.where("cmd = 'GET'").count() > 3400
+
+
+def test_ranks_without_whole_keys(spark):
+    z = spark.range(500).selectExpr("0 as db", "if(id % 3 = 0, 'a', 'hot') as key", "cast(id as string) as member", "cast(id % 7 as double) as score")
+    for reverse in (False, True):
+        want = {(r.key, r.member): r["rank"] for r in zsets.ranked(z, reverse).collect()}
+        assert {(r.key, r.member): r["rank"] for r in zsets.ranked(z, reverse, hot=True).collect()} == want
+        asked = spark.createDataFrame([(0, "hot", "7"), (0, "a", "3"), (0, "a", "nope"), (0, "none", "1")], SET)
+        got = {(r.key, r.member): r["rank"] for r in zsets.zrank(z, asked, reverse).collect()}
+        assert got == {k: want[k] for k in (("hot", "7"), ("a", "3"))}
+
+
+def test_total_order(spark):
+    from keyloom.plans.ranges import total_order
+
+    got = total_order(spark.range(1000).withColumn("v", F.lit(2)), ["id"], "v").orderBy("id").collect()
+    assert [(r.ix, r.upto) for r in got] == [(i, 2 * i + 2) for i in range(1000)]
