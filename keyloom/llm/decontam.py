@@ -37,9 +37,9 @@ def template(text: Column) -> Column:
     """Template words, one for each word of ``raw_words``.
 
     Placeholders go in by passes over the whole text.  A name is a capitalised word that doesn't begin a
-    sentence.
+    sentence; words in capitals throughout aren't names, so shouted copies match.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:] )\p{Lu}[\p{L}'-]*", NAME)
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}[\p{L}'-]*", NAME)
     t = F.regexp_replace(t, r"\d+(?:[.,:/]\d+)*", NUM)
     t = F.lower(F.translate(t, _MARKS, ""))
     t = F.regexp_replace(t, r"(?<=\x01 )(?:" + "|".join(UNITS) + r")(?![\p{L}])", UNIT)

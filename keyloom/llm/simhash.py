@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text_col: str = "text") -
     )
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, the one of smallest ``doc_id``; all columns stay."""
     groups = near_duplicates(docs, shingle, text_col)
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()

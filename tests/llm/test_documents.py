@@ -161,6 +161,9 @@ def test_decontamination(spark):
     got = {r.doc_id: r for r in decontam.contaminated(docs, bench).collect()}
     assert set(got) == {1, 2, 3} and got[1].consistent and got[2].consistent and not got[3].consistent
     assert {r.doc_id for r in decontam.decontaminate(docs, bench).collect()} == {3, 4, 5}
+    plain = spark.createDataFrame([(9, "se raja de el dora, quemente asosa la luna y ueie, no esta dora mente del rio")], "item_id long, text string")
+    loud = spark.createDataFrame([(1, "IS ANHA. SE RAJA DE EL DORA, QUEMENTE ASOSA LA LUNA Y UEIE, NO ESTA DORA MENTE DEL RIO AND MORE")], "doc_id long, text string")
+    assert decontam.contaminated(loud, plain).where("consistent").count() == 1
 
 
 def brute_simhash(text):
@@ -304,6 +307,6 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     good = {r.doc_id for r in queries.op1_quality_rules(spark, D).where("kept").collect()}
     kept = docs.where(F.col("doc_id").isin(list(good)))
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept, 5).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(kept).collect()}
     bad = {r.doc_id for r in decontam.contaminated(kept, spark.read.parquet(f"{D}/benchmark.parquet")).where("consistent").collect()}
     assert {r.doc_id for r in out} == {i for i, c in groups.items() if i == c and i not in bad}
