@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from keyloom.functions.exprs import murmur64
 from keyloom.sources.model import KEY
+from keyloom.sources.shipping import ship
 
 BITS = 14
 REGISTERS = 1 << BITS
@@ -25,6 +26,7 @@ def register_of(data: bytes) -> tuple[int, int]:
 
 def pfadd(elements: DataFrame, column: str = "element", existing: DataFrame | None = None) -> DataFrame:
     """PFADD: registers of each key.  Elements are made distinct first, so Python sees each once."""
+    ship(elements.sparkSession)
     out = T.StructType.fromDDL("idx int, rho int")
 
     @F.pandas_udf(out)
@@ -46,6 +48,7 @@ def merge(registers: DataFrame, target: str | None = None) -> DataFrame:
 
 def pfcount(registers: DataFrame) -> DataFrame:
     """PFCOUNT: the improved raw estimate (Ertl 2017) from the histogram of ranks."""
+    ship(registers.sparkSession)
     histogram = registers.groupBy(*KEY, "rho").agg(F.count(F.lit(1)).alias("c")).groupBy(*KEY)
     got = histogram.agg(F.map_from_entries(F.collect_list(F.struct("rho", "c"))).alias("h"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keyloom.functions.exprs import glob_match
+from keyloom.sources.shipping import ship
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -17,6 +18,7 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 def prepare(spark: SparkSession) -> None:
     """Stateful processors need the RocksDB state store."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ship(spark)
 
 
 class Expiry(StatefulProcessor):
