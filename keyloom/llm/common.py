@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyloom.sources.shipping import ship
+
 #: Rows in one Arrow batch handed to Python.  Texts may be long, so batches are short.
 ARROW_ROWS = 256
 
@@ -53,6 +55,7 @@ def map_arrow(
     rows: int = ARROW_ROWS,
 ) -> DataFrame:
     """``mapInArrow`` over only ``columns``, in short batches so that long texts fit in memory."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.select(*columns).mapInArrow(work, out)
 
