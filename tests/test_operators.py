@@ -24,7 +24,7 @@ def test_getrange_and_setrange(spark):
     cases = {(0, 4): b"Hello", (-5, -1): b"World", (0, -100): b"H", (5, 3): b"", (-1, -5): b"", (20, 30): b""}
     for (a, b), want in cases.items():
         assert bytes(df.select(strings.getrange("value", a, b)).first()[0]) == want, (a, b)
-    assert bytes(df.select(strings.setrange("value", 6, "Redis")).first()[0]) == b"Hello Redis"
+    assert bytes(df.select(strings.setrange("value", 6, "Spark")).first()[0]) == b"Hello Spark"
     assert bytes(df.select(strings.setrange(F.lit("ab"), 4, "x")).first()[0]) == b"ab\0\0x"
     assert bytes(df.select(strings.setrange(F.lit("ab"), 0, "")).first()[0]) == b"ab"
 
