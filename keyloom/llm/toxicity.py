@@ -28,8 +28,8 @@ LANDMARKS = 160
 HARD_ROUNDS = 2
 PARTITIONS = 6
 #: Log likelihood gain from which a word counts as an insult.
-EVIDENCE = 9.0
-DECAY, SPREAD = 0.8, 6
+EVIDENCE = 6.0
+DECAY, SPREAD = 0.8, 4
 #: Letters of a word that are compared at once; longer words are cut into overlapping pieces.
 PIECE, OVERLAP = 24, 8
 SYMBOLS = 32
