@@ -49,3 +49,29 @@ def fit_platt(f: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
         step = np.linalg.solve(hess, grad)
         a, b = a - 0.7 * step[0], b - 0.7 * step[1]
     return float(a), float(b)
+
+
+def fit_joint(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+    """Slopes, none of them negative, and offset that turn several margins into one probability.
+
+    As ``fit_platt``, by Newton steps on smoothed labels; a margin whose slope would be negative is left out.
+    """
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    if not n1 or not n0:
+        return np.full(x.shape[1], 1 / x.shape[1]), (5.0 if n1 else -5.0)
+    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    used = list(range(x.shape[1]))
+    while True:
+        part = np.c_[x[:, used], np.ones(len(x))]
+        b, pull = np.zeros(len(used) + 1), np.r_[np.full(len(used), ridge), 1e-6]
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(part @ b, -30, 30)))
+            h = np.maximum(p * (1 - p), 1e-9)
+            b -= 0.7 * np.linalg.solve((part.T * h) @ part + np.diag(pull), part.T @ (p - target) + pull * b)
+        if len(used) == 1 or (b[:-1] >= 0).all():
+            break
+        used.pop(int(np.argmin(b[:-1])))
+    slopes = np.zeros(x.shape[1])
+    slopes[used] = np.maximum(b[:-1], 0)
+    return slopes, float(b[-1])

@@ -3,11 +3,14 @@
 The kernel of two words counts the three-letter subsequences they share, each weighted by decay to the
 power of its spread, so inserted characters only dampen a match.  A linear support vector machine works
 in the space that landmark words span.  Its decision is linear in the subsequences of a word, so it
-folds, exactly, into one table over subsequences.  A document is as toxic as its worst word.
+folds, exactly, into one table over subsequences.  A document is as toxic as its three worst words, whose
+margins are weighed by a logistic fit: one ordinary word that looks like an insult shouldn't count as
+much as several insults.
 """
 
 from __future__ import annotations
 
+import heapq
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, map_arrow, record, spool, text_rows
-from .svm import fit_platt, fit_svm
+from .svm import fit_joint, fit_svm
 
 #: Labelled documents that a fit takes at most, and words among them.
 SAMPLE_ROWS = 8000
@@ -41,6 +44,8 @@ LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "
 _SPELLED = regex.compile(r"(?<!\S)(?:[^\W\d_][^\p{L}\p{N}]{1,3}){3,}[^\W\d_](?!\p{L})")
 _FOLDED: dict[str, int] = {}
 EMPTY = -1.0
+#: Words of a text whose margins count, the worst first.
+WORST = 3
 
 
 def _fold(c: str) -> int:
@@ -116,7 +121,7 @@ class ToxicityModel:
 
     table: np.ndarray
     bias: float
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.eye(1, WORST)[0])
     offset: float = 0.0
     known: dict = field(default_factory=dict, repr=False)
     older: dict = field(default_factory=dict, repr=False)
@@ -129,7 +134,11 @@ class ToxicityModel:
         return np.bincount(r, w * self.table[c], len(words)) + self.bias
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        """Largest margin among the words of each text; of an empty text ``EMPTY``."""
+        """Decision for each text: the weighted sum of the largest margins among its words."""
+        return self.tops(texts) @ self.slopes
+
+    def tops(self, texts: list[str]) -> np.ndarray:
+        """The ``WORST`` largest margins among the distinct words of each text, ``EMPTY`` for those it lacks."""
         units = [words_of(t) for t in texts]
         known = self.known
         new = [w for w in set().union(*units).difference(known)]
@@ -150,14 +159,17 @@ class ToxicityModel:
         for at in range(0, len(cut), 4096):
             np.maximum.at(best, owner[at : at + 4096], self.margins(cut[at : at + 4096]))
         known.update(zip(fresh, best.tolist(), strict=True))
-        out = np.array([max(map(known.__getitem__, u), default=EMPTY) for u in units])
+        out = np.full((len(units), WORST), EMPTY)
+        for i, u in enumerate(units):
+            most = heapq.nlargest(WORST, map(known.__getitem__, u))
+            out[i, : len(most)] = most
         if len(known) > REMEMBERED:
             self.older, self.known = known, {}
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
+    def score(self, decision: np.ndarray) -> np.ndarray:
         """Calibrated probability of label one."""
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(decision + self.offset, -30, 30)))
 
 
 def _with_noise(word: bytes) -> list[bytes]:
@@ -206,7 +218,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     documents hold far more often than others is an insult, words of clean documents aren't.  Counts per
     word are aggregated by Spark; bounded numbers of words reach the driver.
     """
-    nothing = ToxicityModel(np.zeros(SYMBOLS**3), EMPTY, 1.0, -5.0)
+    nothing = ToxicityModel(np.zeros(SYMBOLS**3), EMPTY, offset=-5.0)
     sample = labelled_sample(docs, labels, "toxic", rows, ~held_out())
     # copies of one toxic document would make all of its words look like insults
     sample = sample.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("key")).agg(
@@ -247,18 +259,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
         counted.unpersist()
     model = ToxicityModel(table, bias)
     got = _margins(sample.select("doc_id", "text", "__y"), model, ["__y"]).toPandas()
-    model.slope, model.offset = fit_platt(got["margin"].to_numpy(), got["__y"].to_numpy())
+    model.slopes, model.offset = fit_joint(np.stack(got["margins"]), got["__y"].to_numpy())
     return model
 
 
 def _margins(docs: DataFrame, model: ToxicityModel, extra: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in extra), T.StructField("margin", T.DoubleType())])
+    out = T.StructType([T.StructField("doc_id", T.LongType()), *(docs.schema[c] for c in extra), T.StructField("margins", T.ArrayType(T.DoubleType()))])
 
     def work(batches):
         for batch in batches:
             rest = [batch.column(c) for c in extra]
-            yield record([batch.column("doc_id").cast(pa.int64()), *rest, pa.array(shared.value.worst(text_rows(batch)))], out)
+            yield record([batch.column("doc_id").cast(pa.int64()), *rest, shared.value.tops(text_rows(batch)).tolist()], out)
 
     return map_arrow(docs, ["doc_id", "text", *extra], out, work)
 
@@ -266,10 +278,10 @@ def _margins(docs: DataFrame, model: ToxicityModel, extra: list[str]) -> DataFra
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every whole text.
 
-    A null or empty text has the score of margin ``EMPTY``.  Rows come out as often as they go in;
+    A null or empty text has the score of margins ``EMPTY``.  Rows come out as often as they go in;
     columns other than ``doc_id`` and ``text`` take no part.
     """
-    a, b = model.slope, model.offset
-    score = 1 / (1 + F.exp(-(F.lit(a) * F.col("margin") + F.lit(b))))
+    decision = sum((F.lit(float(a)) * F.col("margins")[i] for i, a in enumerate(model.slopes)), F.lit(model.offset))
+    score = 1 / (1 + F.exp(-decision))
     scored = _margins(docs, model, []).select("doc_id", held_out().alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
