@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, common, decontam, langid, quality, queries, secrets, sharding, simhash, spans, suffixes, toxicity
+from keyloom.llm import bpe, common, decontam, langid, quality, queries, secrets, sharding, simhash, spans, suffixes, svm, toxicity
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -124,6 +124,22 @@ def test_toxicity(spark):
     assert 0 <= model.score(model.worst([""]))[0] < 0.5
 
 
+def test_worst_words_are_weighed():
+    rng = np.random.default_rng(3)
+    x = np.sort(rng.standard_normal((400, 3)), axis=1)[:, ::-1]
+    y = (x[:, 0] - x[:, 2] > 1.5).astype(float)  # the third margin speaks against the label
+    slopes, offset = svm.fit_joint(x, y)
+    assert (slopes >= 0).all() and slopes[2] == 0 and slopes[0] > 0
+    y = (x[:, 0] + x[:, 1] > 1.5).astype(float)
+    slopes, offset = svm.fit_joint(x, y)
+    assert np.mean((x @ slopes + offset > 0) == (y > 0)) > 0.9
+    for label in (0.0, 1.0):
+        slopes, offset = svm.fit_joint(x, np.full(400, label))
+        assert (slopes >= 0).all() and (offset > 0) == (label > 0)
+    model = toxicity.ToxicityModel(np.zeros(toxicity.SYMBOLS**3), 0.5)
+    assert model.tops(["", "abc", "abc abc", "abc def ghi jkl"]).tolist() == [[-1, -1, -1], [0.5, -1, -1], [0.5, -1, -1], [0.5, 0.5, 0.5]]
+
+
 def test_sentence_spans(spark, docs):
     passage = "A first sentence of this passage stands here. Then comes a second one with more words. A third one ends it."
     rows = [(1, f"Intro text one. {passage} Some end."), (2, f"Other start of it. {passage} Another end."), (3, f"{passage} {passage}"), (4, "Nothing that repeats. At all in here. Not one bit of it.")]
