@@ -1,11 +1,11 @@
-"""Suffix-array dedup of byte strings by the difference-cover algorithm.
-
-Sorting every byte suffix doesn't fit a cluster's disks, so the suffixes that are sorted start at anchors.
-The anchor of a window of ``length`` bytes is its rarest-hashed short string; it depends on the window
-alone, so equal windows have equal anchors at equal places.  The sequence of anchor names is sorted by the
-distributed difference-cover algorithm: triples at two of three positions are sorted and named, the names
-are sorted by recursion, the other suffixes are merged in; neighbours in suffix order are compared.  What
-shares a name with a neighbour is then compared byte by byte.
+"""Dedup of repeated byte strings by anchors and window hashes.
+
+Sorting every byte suffix doesn't fit a cluster's disks, so repeats are looked up at anchors.  The anchor
+of a window of ``length`` bytes is its rarest-hashed short string; it depends on the window alone, so
+equal windows have equal anchors at equal places.  What is removed is decided by hashes: of an anchor's
+whole context, and of every window of contexts that share an anchor's name.  The sequence of anchor names
+is also sorted by the distributed difference-cover algorithm, but that order decides nothing: names that
+stand more than once are always neighbours in it.
 """
 
 from __future__ import annotations
@@ -179,7 +179,10 @@ def suffix_ranks(seq: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
 
 
 def _sharing_a_name(reps: DataFrame, in_memory: int) -> DataFrame:
-    """Those of (doc_id, k, name, ...) whose suffix starts with the same name as a neighbour's in order."""
+    """Those of (doc_id, k, name, ...) whose suffix starts with the same name as a neighbour's in order.
+
+    Each name of ``reps`` stands there twice or more, so all rows come back.
+    """
     order = Window.partitionBy("doc_id").orderBy("k")
     ends = F.coalesce(F.lead("k").over(order) != F.col("k") + 1, F.lit(True))
     rows = reps.withColumn("ends", ends).withColumn("mark", F.explode(F.when(F.col("ends"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
