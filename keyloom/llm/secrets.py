@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: Characters from which a run is a candidate.
 LEAST = 16
 _RUN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
+#: Marks that end a field in a word, and the runs of a word one after another: what is before a run, the run, and up to
+#: 200 characters of its field's rest, in which only the marks of an address are looked for.
+_ENDS = "?&;,{}"
+_EACH = rf"(?s)\G(.*?)(?<![A-Za-z0-9+/_-])({_RUN}={{0,2}})(?=([^{_ENDS}]{{0,200}}))"
 #: Words that often stand before a secret, before something harmless, or inside a placeholder.
 SECRET_WORDS = "password|passwd|pwd|secret|token|api|apikey|key|auth|bearer|credential|private|access"
 HARMLESS_WORDS = "commit|sha|sha1|sha256|md5|checksum|digest|uuid|guid|revision|etag|build|version|hash|request|trace|session-id|file|path"
@@ -36,7 +40,11 @@ MASK = "<SECRET>"
 
 
 def candidates(text: Column) -> Column:
-    """Array of candidates of a text: word number, the word, the run in it, and the words around."""
+    """Array of candidates of a text: every run of each word, with what stands around it.
+
+    ``head`` and ``tail`` are the parts of the word before and after the run, the one no longer than to the
+    run before, both within the run's field; ``left`` and ``right`` are the words around.
+    """
     words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
     near = lambda i, d: F.coalesce(F.try_element_at(words, i + d), F.lit(""))
 
@@ -45,18 +53,24 @@ def candidates(text: Column) -> Column:
         # element_at counts from one, so i is the word before
         before = F.when(i > 0, near(F.greatest(i, F.lit(1)), 0)).otherwise("")
         earlier = F.when(i > 1, near(F.greatest(i - 1, F.lit(1)), 0)).otherwise("")
+        part = lambda k: F.regexp_extract_all(w, F.lit(_EACH), F.lit(k))
+        runs = F.arrays_zip(part(1).alias("gap"), part(2).alias("run"), part(3).alias("tail"))
         return F.when(
             good,
-            F.struct(
-                i.alias("word_ix"),
-                w.alias("word"),
-                F.regexp_extract(w, rf".*(?<![A-Za-z0-9+/_-])({_RUN}={{0,2}})", 1).alias("run"),
-                F.lower(F.concat_ws(" ", earlier, before)).alias("left"),
-                F.lower(near(i, 2)).alias("right"),
+            F.transform(
+                runs,
+                lambda r: F.struct(
+                    i.alias("word_ix"),
+                    F.substring_index(F.translate(r["gap"], _ENDS, ";" * len(_ENDS)), ";", -1).alias("head"),
+                    r["run"].alias("run"),
+                    r["tail"].alias("tail"),
+                    F.lower(F.concat_ws(" ", earlier, before)).alias("left"),
+                    F.lower(near(i, 2)).alias("right"),
+                ),
             ),
         )
 
-    return F.filter(F.transform(words, pick), lambda c: c.isNotNull() & (F.length(c.run) >= LEAST))
+    return F.flatten(F.filter(F.transform(words, pick), lambda c: c.isNotNull()))
 
 
 def features(c: Column) -> Column:
@@ -65,7 +79,7 @@ def features(c: Column) -> Column:
     count = lambda pattern: n - F.length(F.regexp_replace(s, pattern, ""))
     share = lambda k: k / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[A-Z]+", "#"), "[a-z]+", "%"), "[0-9]+", "&")
-    head = F.lower(F.split_part(c.word, s, F.lit(1)))
+    head = F.lower(c.head)
     around = F.concat_ws(" ", c.left, head)
     flag = lambda b: b.cast("double")
     letters = F.transform(F.split(s, "[^A-Za-z]+"), lambda x: F.length(x))
@@ -82,7 +96,7 @@ def features(c: Column) -> Column:
         flag(around.rlike(rf"(?:{SECRET_WORDS})[^a-z]*$|(?:{SECRET_WORDS})\W")),
         flag(around.rlike(rf"\b(?:{HARMLESS_WORDS})\b")),
         flag(F.lower(s).rlike(PLACEHOLDERS)),
-        flag(c.word.rlike("@|://|www\\.")),
+        flag(F.concat(c.head, s, c.tail).rlike("@|://|www\\.")),
         flag(s.rlike(f"^(?:{PREFIXES})")),
         flag(head.rlike("[=:]")),
         share(F.array_max(letters)),
@@ -236,6 +250,8 @@ def redact(docs: DataFrame, forest: FlatForest, threshold: float = 0.5, text_col
     A column ``n_chars``, where there is one, follows a text that changed.
     """
     hits = F.filter(scored(F.col(text_col), forest), lambda c: c.score >= threshold)
+    # longest first, as one secret may hold another
+    hits = F.reverse(F.array_sort(F.array_distinct(F.transform(hits, lambda c: F.struct(F.length(c.run).alias("n"), c.run.alias("run"))))))
     clean = F.aggregate(hits, F.col(text_col), lambda t, c: F.replace(t, c.run, F.lit(MASK)))
     out = docs.withColumn("__clean", F.when(F.col(text_col).isNotNull(), clean))
     if "n_chars" in docs.columns:

@@ -255,6 +255,27 @@ def test_secrets(spark):
     assert np.mean([found[i] == bool(y) for i, (_, y) in enumerate(held) if i in found]) > 0.95
 
 
+def test_every_run_of_a_word_is_a_candidate(spark):
+    rng = random.Random(5)
+    mix = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(k))
+    tok, aws, a, b, c, d = "".join(rng.choice("0123456789abcdef") for _ in range(40)), "AKIA" + mix(16).upper(), mix(40), mix(32), mix(24) + "7", mix(30)
+    path = "/some/long/path-2024"
+    rows = [
+        (1, f"so ID={aws};SECRET={a} here", {aws, a}),
+        (2, f'{{"api_key":"{b}","path":"{path}/index"}}', {b}),
+        (3, f"https://h.org/?token={tok}&next={path}", {tok}),
+        (4, f"https://user:{c}@host/long/path/name-1", {c}),
+        (5, f"Bearer eyJ{a}.eyJ{b}{b}.{d}", {f"eyJ{a}", f"eyJ{b}{b}", d}),
+        (6, "a,b;" * 5000 + f"token={d};" + "c.d;" * 5000, {d}),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    forest = secrets.fit_secrets(spark)
+    found = secrets.find_secrets(docs, forest).where("is_secret").collect()
+    assert {i: {r.secret for r in found if r.doc_id == i} for i, _, _ in rows} == {i: want for i, _, want in rows}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    assert not any(x in clean[i] for i, _, want in rows for x in want) and path in clean[2] and path in clean[3]
+
+
 @pytest.mark.parametrize(("n", "letters", "memory"), [(40, 3, 4), (101, 2, 5), (258, 1, 10)])
 def test_suffix_ranks(spark, n, letters, memory):
     rng = random.Random(n)
