@@ -4,8 +4,10 @@ From every sentence of a text starts one run of several consecutive sentences.
 joined globally; a sentence goes when any run that covers it was seen earlier, in document order.
 
 Passages are often copied from the middle of one sentence to the middle of another, so what counts as a
-sentence here may be a part of one: besides marks and line ends, about every tenth word, chosen by its
-own hash, ends one.  Copies are cut alike wherever they stand.
+sentence here may be a part of one: besides marks and line ends, the word of the smallest hash ends one in
+every ``WINDOW`` words without such an end (winnowing).  Whether a word ends a sentence depends on the
+words less than ``WINDOW`` away only, so copies are cut alike wherever they stand, and a passage of over
+50 words holds a whole run.  In scripts without spaces a character is a word that counts half.
 """
 
 from __future__ import annotations
@@ -24,41 +26,81 @@ from .common import map_arrow, record, spool, text_rows
 
 #: A run has at least three sentences and twelve words, or two sentences and sixteen words.
 LEAST_WORDS, PAIR_WORDS = 12, 16
-#: One of so many words ends a sentence by its hash.
-CUT = 10
-#: Words whose verdict a worker remembers.
+#: So many consecutive words hold the end of a sentence.  With w of them, a passage of n words is cut alike in all
+#: copies but for w - 1 words at either side; at most w words stand before the first end, and a run has at most
+#: PAIR_WORDS - 1 + w words: n >= 4 * w + PAIR_WORDS - 3 is enough, and holds for 51 words.
+WINDOW = 9
+#: Words whose hash a worker remembers.
 REMEMBERED = 300_000
-_WORD = re.compile(r"\S+\s*")
+#: A word of more characters is cut by characters as well, and so many of them count as one word.
+LONG_WORD, LETTERS = 64, 6
+# scripts that don't set words apart: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han, and full-width marks
+_DENSE = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3100-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(rf"(?:[{_DENSE}]|[^\s{_DENSE}]+)\s*")
+_DENSE_CHAR = re.compile(f"[{_DENSE}]")
+_MARKS = frozenset(".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff01\uff1f\uff61\u061f\u06d4\u0589\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u0f0d\u0f0e")
+_LINE_ENDS = re.compile("[\n\r\u0085\u2028\u2029]")
 
 
-class _Ends(dict):
-    """Whether a sentence ends with a word and the white space behind it."""
+class _Hashes(dict):
+    """Hash of a word with the white space behind it; zero where it ends a sentence by a mark or a line end."""
 
-    def __missing__(self, word: str) -> bool:
+    def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
         bare = word.rstrip()
-        ends = bare[-1] in ".!?" or "\n" in word[len(bare) :] or zlib.crc32(bare.lower().encode()) % CUT == 0
-        self[word] = ends
-        return ends
-
-
-_ENDS = _Ends()
-
-
-def _cut(text: str) -> tuple[list[str], list[int]]:
-    """Words with the white space behind them, and the number of words up to each sentence's end."""
-    words = _WORD.findall(text)
-    ends = np.flatnonzero(np.fromiter(map(_ENDS.__getitem__, words), dtype=bool, count=len(words))) + 1
-    ends = ends.tolist()
-    if words and (not ends or ends[-1] < len(words)):
-        ends.append(len(words))
-    return words, ends
+        ends = bare[-1:] in _MARKS or _LINE_ENDS.search(word, len(bare)) is not None
+        self[word] = h = 0 if ends else zlib.crc32(bare.lower().encode()) | 1
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def _words(text: str) -> tuple[list[str], np.ndarray | None]:
+    """Words with the white space behind them, and their weights in twelfths where not all count alike."""
+    words, weights = _WORD.findall(text), None
+    if _DENSE_CHAR.search(text):
+        weights = [6 if _DENSE_CHAR.match(w) else 12 for w in words]
+    if len(text) > LONG_WORD and max(map(len, words), default=0) > LONG_WORD:
+        parts, own = [], []
+        for w, g in zip(words, weights or [12] * len(words), strict=True):
+            bare = len(w.rstrip())
+            if bare > LONG_WORD:
+                parts += [*w[: bare - 1], w[bare - 1 :]]
+                own += [12 // LETTERS] * bare
+            else:
+                parts.append(w)
+                own.append(g)
+        words, weights = parts, own
+    return words, None if weights is None else np.array(weights, dtype=np.int64)
+
+
+def _cut(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words with the white space behind them, and the number and the twelfths of words up to each sentence's end."""
+    words, weights = _words(text)
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    ended = h == 0
+    if len(words) >= WINDOW:
+        # the last of the smallest hashes in each window
+        low = (h << np.uint64(32)) | np.arange(2**32 - 1, 2**32 - 1 - len(h), -1, dtype=np.uint64)
+        size = 1
+        while size * 2 <= WINDOW:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        if size < WINDOW:
+            low = np.minimum(low[: len(low) - (WINDOW - size)], low[WINDOW - size :])
+        ended[(np.uint64(2**32 - 1) - (low & np.uint64(2**32 - 1))).astype(np.int64)] = True
+    ends = np.flatnonzero(ended) + 1
+    if len(words) and (not len(ends) or ends[-1] < len(words)):
+        ends = np.append(ends, len(words))
+    reach = 12 * ends if weights is None else np.cumsum(weights)[ends - 1] if len(words) else ends
+    return words, ends.tolist(), reach.tolist()
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of a text's sentences; together they cover a text that has a word."""
-    words, ends = _cut(text)
+    words, ends, _ = _cut(text)
     if not words:
         return []
     reach = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
@@ -72,11 +114,12 @@ def runs(text: str) -> list[tuple[int, int, int]]:
     How far a run reaches depends on its own words only, so the same passage gives the same runs
     wherever it stands.
     """
-    words, ends = _cut(text)
-    starts, out = [0, *ends[:-1]], []
+    words, ends, reach = _cut(text)
+    starts, before, out = [0, *ends[:-1]], [0, *reach[:-1]], []
+    pair, least = 12 * PAIR_WORDS, 12 * LEAST_WORDS
     for i, a in enumerate(starts):
         j = i + 1
-        while j < len(ends) and ends[j] - a < (PAIR_WORDS if j == i + 1 else LEAST_WORDS):
+        while j < len(ends) and reach[j] - before[i] < (pair if j == i + 1 else least):
             j += 1
         if j >= len(ends):
             break

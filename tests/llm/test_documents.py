@@ -167,6 +167,30 @@ def test_sentence_spans(spark, docs):
     assert {r.doc_id: r.n_removed for r in queries.op5_sentence_spans(spark, D).collect()} == want
 
 
+@pytest.mark.parametrize("kind", ["words", "one word", "uncut words", "han", "thai", "unspaced"])
+def test_passages_without_marks_hold_a_run(kind):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    few = [w for w in (f"w{i}" for i in range(60)) if zlib.crc32(w.encode()) % 10][:3]
+    make, n, join = {
+        "words": (word, 51, " "),
+        "one word": (lambda: few[0], 51, " "),
+        "uncut words": (lambda: rng.choice(few), 51, " "),
+        "han": (lambda: chr(rng.randint(0x4E00, 0x9F00)), 66, ""),
+        "thai": (lambda: chr(rng.randint(0xE01, 0xE2E)), 66, ""),
+        "unspaced": (lambda: rng.choice("abcdefghijklmnop"), 320, ""),
+    }[kind]
+    for _ in range(200):
+        passage = join.join(make() for _ in range(n))
+        around = [join.join(make() for _ in range(80)) for _ in range(4)]
+        if kind == "one word":
+            around = [" ".join(word() for _ in range(80)) for _ in range(4)]
+        one, two = (join.join([around[i], passage, around[i + 1]]) for i in (0, 2))
+        shared = {h for h, _, _ in spans.runs(one)} & {h for h, _, _ in spans.runs(two)}
+        assert shared
+    assert len(spans.sentences("第一句在这里。第二句也在这里。" * 3)) >= 6
+
+
 def test_decontamination(spark):
     item = "If Alice buys 12 apples for 3 dollars each and Bob buys 12 pears, how many fruits does Alice own after 12 days of trade?"
     again = "so if Carol buys 15 apples for 4 dollars each and Dave buys 15 pears, how many fruits does Carol own after 15 days of trade? yes"
