@@ -71,8 +71,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Returns ``doc_id``, ``item_id``, ``start`` (word of the document where the item's first word would
     stand), ``n_windows`` (of the item), ``n_matched``, ``n_slots`` (different placeholder values),
-    ``consistent`` and ``verbatim``.  One row is the best diagonal of a pair; ``consistent`` is false
-    where the values contradict each other, and such a row isn't contamination.  An item shorter than a
+    ``consistent`` and ``verbatim``.  Values are compared where windows matched, on every
+    diagonal that reaches the threshold.  One row is the best diagonal of a pair, a consistent one if there
+    is any; ``consistent`` is false where the values contradict each other, and such a row isn't contamination.  An item shorter than a
     window matches nothing.  A null or empty text matches nothing; repeated rows of a ``doc_id`` count
     once; other columns are ignored.
     """
@@ -81,42 +82,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     found = windows(texts, "doc_id").join(F.broadcast(bench) if small else bench, "h")
     found = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("j")).alias("start")).agg(
-        F.countDistinct("j").alias("n_matched"), F.first("n_windows").alias("n_windows")
+        F.collect_set("j").alias("js"), F.first("n_windows").alias("n_windows")
     )
-    found = found.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(COVERED * F.col("n_windows"))))
-    best = found.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("start", "n_matched", "n_windows"), F.struct("n_matched", -F.col("start"))).alias("b")
-    )
-    best = spool(best.select("doc_id", "item_id", "b.*"))
+    found = found.withColumn("n_matched", F.size("js").cast("long"))
+    best = found.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(COVERED * F.col("n_windows"))))
+    diagonal = F.struct("start", "n_windows", "n_matched", "js")
+    best = spool(best.groupBy("doc_id", "item_id").agg(F.collect_list(diagonal).alias("diagonals")))
     # values of both texts, for the few documents that matched
     own = texts.join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     own = own.select("doc_id", raw_words(F.col("text")).alias("dw"), template(F.col("text")).alias("dt"))
     theirs = benchmark.select("item_id", raw_words(F.col("text")).alias("iw"), template(F.col("text")).alias("it"))
     both = best.join(own, "doc_id").join(theirs.dropDuplicates(["item_id"]), "item_id")
-    # slots: words of the item with a placeholder that the document has at the same place
     at = lambda a, k: F.try_element_at(F.col(a), k)
-    pairs = F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.size("it")),
+
+    def slots(c):
+        """Values of an item's words with a placeholder that the document has at the same place, where windows matched."""
+        covered = F.array_distinct(F.flatten(F.transform(c.js, lambda j: F.sequence(j + 1, j + WINDOW))))
+        place = lambda k: F.greatest((k + c.start).cast("int"), F.lit(1))
+        pairs = F.transform(
+            covered,
             lambda k: F.when(
-                (k + F.col("start") > 0) & at("it", k).rlike("[\x01\x02\x03]") & (at("it", k) == at("dt", F.greatest(k + F.col("start"), F.lit(1)))),
+                at("it", k).rlike("[\x01\x02\x03]") & (at("it", k) == at("dt", place(k))),
                 F.struct(
                     F.lower(F.translate(at("iw", k), _MARKS, "")).alias("i"),
-                    F.lower(F.translate(at("dw", F.greatest(k + F.col("start"), F.lit(1))), _MARKS, "")).alias("d"),
+                    F.lower(F.translate(at("dw", place(k)), _MARKS, "")).alias("d"),
                 ),
             ),
-        ),
-        lambda p: p.isNotNull(),
-    )
-    both = both.select("doc_id", "item_id", "start", "n_windows", "n_matched", F.array_distinct(pairs).alias("p"))
+        )
+        return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
+
+    # a row for each diagonal, without the texts
+    checked = F.transform("diagonals", lambda c: F.struct(c.start.alias("start"), c.n_windows.alias("n_windows"), c.n_matched.alias("n_matched"), slots(c).alias("p")))
+    both = both.select("doc_id", "item_id", checked.alias("checked")).select("doc_id", "item_id", F.explode("checked").alias("c")).select("doc_id", "item_id", "c.*")
     values = F.size("p")
     consistent = (F.size(F.array_distinct(F.col("p.i"))) == values) & (F.size(F.array_distinct(F.col("p.d"))) == values)
     changed = F.size(F.filter("p", lambda p: p.i != p.d))
-    return both.select(
+    every = both.select(
         "doc_id", "item_id", "start", "n_windows", "n_matched",
         changed.alias("n_slots"), consistent.alias("consistent"),
         ((F.col("n_matched") == F.col("n_windows")) & (changed == 0)).alias("verbatim"),
     )
+    row = F.struct("start", "n_windows", "n_matched", "n_slots", "consistent", "verbatim")
+    best = every.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("consistent", "n_matched", -F.col("start"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

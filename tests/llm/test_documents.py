@@ -206,6 +206,18 @@ def test_decontamination(spark):
     assert decontam.contaminated(loud, plain).where("consistent").count() == 1
 
 
+def test_every_diagonal_is_checked(spark):
+    item = "If Alice buys 12 apples for 3 dollars each and Bob buys 12 pears, how many fruits does Alice own after 12 days of trade?"
+    wrong = "so if Carol buys 15 apples for 4 dollars each and Dave buys 99 pears, how many fruits does Carol own after 15 days of trade? yes"
+    part = "they saw him 77 times there near a lake with old red 55 boats, how many fruits does Alice own after 12 days of trade?"
+    rows = [(1, f"{wrong} And then: {item}"), (2, wrong), (3, part)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.contaminated(docs, bench).collect()}
+    assert len(got) == decontam.contaminated(docs, bench).count()
+    assert got[1].consistent and got[1].verbatim and not got[2].consistent and got[3].consistent
+
+
 def brute_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
