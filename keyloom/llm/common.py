@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 
 from keyloom.sources.shipping import ship
 
-#: Rows in one Arrow batch handed to Python.  Texts may be long, so batches are short.
+#: Rows that are worked on at once.  Spark bounds the bytes of an Arrow batch (64 MB unless set otherwise); what is
+#: made of a batch in Python is bounded by taking it in slices, as texts may be long.
 ARROW_ROWS = 256
 
 
@@ -25,11 +27,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session; where that is unset (tests on one machine) a
-    temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session; where that is unset and Spark runs in one process (tests)
+    a temporary folder is made and set.  On a cluster a missing setting is an error, as each machine would
+    write to its own disk.
     """
     kept = spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         kept = tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", kept)
     return kept.rstrip("/")
@@ -47,6 +52,25 @@ def spool(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and three that tell its texts apart, also where ids are null or repeated.
+
+    ``__d`` and ``__h`` are the id (0 for null) and a hash of the text that also differs for null ids;
+    ``__z`` is true for a null id.  Rows that agree in all three are copies of one text under one id.
+    """
+    null_id = F.col("doc_id").isNull()
+    return docs.withColumns(
+        {
+            "__z": null_id,
+            "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")),
+            "__h": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), null_id),
+        }
+    )
+
+
+KEY = ["__d", "__h"]
+
+
 def map_arrow(
     df: DataFrame,
     columns: list[str],
@@ -54,10 +78,16 @@ def map_arrow(
     work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     rows: int = ARROW_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` over only ``columns``, in short batches so that long texts fit in memory."""
+    """``mapInArrow`` over only ``columns``; ``work`` gets slices of ``rows`` rows, so that long texts fit in memory.
+
+    No setting of the session is touched, so frames that are executed later behave alike.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.select(*columns).mapInArrow(work, out)
+
+    def sliced(batches):
+        return work(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return df.select(*columns).mapInArrow(sliced, out)
 
 
 def text_rows(batch: pa.RecordBatch, name: str = "text") -> list[str]:

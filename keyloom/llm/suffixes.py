@@ -1,11 +1,12 @@
-"""Dedup of repeated byte strings by anchors and window hashes.
-
-Sorting every byte suffix doesn't fit a cluster's disks, so repeats are looked up at anchors.  The anchor
-of a window of ``length`` bytes is its rarest-hashed short string; it depends on the window alone, so
-equal windows have equal anchors at equal places.  What is removed is decided by hashes: of an anchor's
-whole context, and of every window of contexts that share an anchor's name.  The sequence of anchor names
-is also sorted by the distributed difference-cover algorithm, but that order decides nothing: names that
-stand more than once are always neighbours in it.
+"""Dedup of repeated byte strings by a suffix order of anchors.
+
+Sorting every byte suffix doesn't fit a cluster's disks, so suffixes are sampled: the anchor of a window of
+``length`` bytes is its rarest-hashed short string; it depends on the window alone, so equal windows have
+equal anchors at equal places.  Anchors whose whole context is equal are collapsed by counting.  The rest
+make sequences of names, whose suffixes the distributed difference-cover algorithm ranks: triples at two of
+three places are sorted and named, their order comes from a recursion on the names, and the remaining
+suffixes are merged in.  Contexts are then read in the order of the ranks, and neighbours whose prefixes agree
+form blocks: only within a block are windows compared, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_arrow, record, spool, text_rows
+from .common import keyed, map_arrow, record, spool, text_rows
 
 #: Bytes of a repeat, and of the string that names an anchor.
 LENGTH, GRAM = 400, 32
@@ -26,8 +27,8 @@ LENGTH, GRAM = 400, 32
 IN_MEMORY = 100_000
 #: Positions in a slice of a sequence when neighbours are looked up.
 SLICE = 4096
-#: Bytes that are compared at once; a name with more than ``HOT`` bytes of contexts is dealt out by window.
-CHUNK, HOT = 4_000_000, 32_000_000
+#: Bytes of small blocks that are compared at once, and contexts from which a block is compared in parts.
+CHUNK, CROWD = 4_000_000, 32_768
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 1) for b in range(256)], dtype=np.uint64)
 
@@ -178,150 +179,156 @@ def suffix_ranks(seq: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
     return spool(one.union(two).union(three))
 
 
-def _sharing_a_name(reps: DataFrame, in_memory: int) -> DataFrame:
-    """Those of (doc_id, k, name, ...) whose suffix starts with the same name as a neighbour's in order.
+def _blocks(reps: DataFrame, in_memory: int) -> DataFrame:
+    """Rows (d, h, k, name, n, ...) with the ``rank`` of the suffix of anchor names that starts at each, and its ``block``.
 
-    Each name of ``reps`` stands there twice or more, so all rows come back.
+    Neighbouring anchors of a text make a run of the sequence, and a symbol of its own ends every run.  A
+    block is a stretch of neighbours in suffix order whose prefixes start with the same name; ``part`` cuts
+    up blocks of over ``CROWD`` rows.
     """
-    order = Window.partitionBy("doc_id").orderBy("k")
+    order = Window.partitionBy("d", "h").orderBy("k")
     ends = F.coalesce(F.lead("k").over(order) != F.col("k") + 1, F.lit(True))
     rows = reps.withColumn("ends", ends).withColumn("mark", F.explode(F.when(F.col("ends"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    placed = numbered(rows.drop("ends"), ["doc_id", "k", "mark"])
-    # every run of neighbouring anchors ends with a symbol of its own; names are odd and positive
+    placed = numbered(rows.drop("ends"), ["d", "h", "k", "mark"])
+    # names are odd and positive, ends are even
     symbol = F.when(F.col("mark") == 0, F.shiftrightunsigned("name", 2) * 2 + 1).otherwise(F.col("ix") * 2 + 2)
     seq = spool(placed.withColumn("sym", symbol).withColumnRenamed("ix", "pos").drop("before"))
-    ranked = seq.join(suffix_ranks(seq.select("pos", "sym"), in_memory), "pos")
-    beside = neighbours(ranked.select("rank", "sym").withColumn("rank", F.col("rank") - 1), "rank", {"next": ("sym", 1)})
-    heads = beside.where("sym = next").select("sym").distinct()
-    return seq.where("mark = 0").join(heads, "sym", "left_semi").drop("sym", "mark", "pos")
-
-
-def _compare(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, a, b, h): ranges covered by windows found twice; with h, windows still to be counted."""
-    out = T.StructType.fromDDL("doc_id long, a int, b int, h long")
-
-    def hashes(rows):
-        joined = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8)
-        h = rolling(joined, length)
-        sizes = np.array([len(r[2]) for r in rows])
-        starts = np.cumsum(sizes) - sizes
-        return h, starts, sizes - length + 1
-
-    def repeats(rows):
-        h, starts, counts = hashes(rows)
-        own = np.concatenate([h[s : s + c] for s, c in zip(starts, counts, strict=True)])
-        _, inverse, seen = np.unique(own, return_inverse=True, return_counts=True)
-        hit, at = seen[inverse] > 1, 0
-        for (doc, first, _), c in zip(rows, counts.tolist(), strict=True):
+    ranks = suffix_ranks(seq.select("pos", "sym"), in_memory)
+    ranked = seq.join(ranks.select("pos", (F.col("rank") - 1).alias("rank")), "pos").drop("pos")
+    beside = neighbours(ranked, "rank", {"next": ("sym", 1)})
+    blocks = numbered(beside, ["rank"], ~F.col("sym").eqNullSafe(F.col("next")))
+    part = F.when(F.col("n") > CROWD, F.floor(F.col("rank") / CROWD)).otherwise(0)
+    return blocks.where("mark = 0").withColumn("part", part).withColumnRenamed("before", "block").drop("sym", "mark", "next", "ix")
+
+
+def _compare(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(d, h, a, b, w): ranges covered by windows found twice; with w, a window of hash w still to be counted.
+
+    ``contexts`` come in suffix order, and windows are looked for within a block, where a context shares
+    ``gram`` bytes from its anchor on with the one before.  Parts of a block of over ``CROWD`` contexts report
+    the windows they saw, each hash once.
+    """
+    out = T.StructType.fromDDL("d long, h long, a int, b int, w long")
+
+    def covered(rows, report):
+        joined = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
+        hashes = rolling(joined, length)
+        sizes = np.array([len(r[3]) for r in rows])
+        starts, counts = np.cumsum(sizes) - sizes, sizes - length + 1
+        own = np.concatenate([hashes[s : s + c] for s, c in zip(starts.tolist(), counts.tolist(), strict=True)])
+        values, one, inverse, seen = np.unique(own, return_index=True, return_inverse=True, return_counts=True)
+        hit, at, cols = seen[inverse] > 1, 0, [[] for _ in range(5)]
+        for (d, h, first, _), c in zip(rows, counts.tolist(), strict=True):
             edges = np.flatnonzero(np.diff(np.r_[0, hit[at : at + c].astype(np.int8), 0]))
             at += c
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                yield doc, first + a, first + b - 1 + length, None
-
-    def windows_of(rows):
-        h, starts, counts = hashes(rows)
-        for (doc, first, _), s, c in zip(rows, starts.tolist(), counts.tolist(), strict=True):
-            for i, x in enumerate(h[s : s + c].view(np.int64).tolist()):
-                yield doc, first + i, first + i + length, x
-
-    def packed(found):
-        rows = list(found)
-        return record([list(c) for c in zip(*rows, strict=True)] or [[]] * 4, out)
+                for col, v in zip(cols, (d, h, first + a, first + b - 1 + length, None), strict=True):
+                    col.append(v)
+        ranges = record(cols, out)
+        if not report:
+            return [ranges]
+        of = np.searchsorted(np.cumsum(counts), one, side="right")
+        begin = np.array([r[2] for r in rows])[of] + one - (np.cumsum(counts) - counts)[of]
+        ids = [pa.array([rows[i][k] for i in of.tolist()], type=pa.int64()) for k in (0, 1)]
+        return [ranges, record([*ids, pa.array(begin.astype(np.int32)), pa.array((begin + length).astype(np.int32)), pa.array(values.view(np.int64))], out)]
 
     def work(batches):
-        ready, held, name, size, hot = [], [], None, 0, False
+        ready, waiting, held, last, prefix, crowded = [], 0, [], None, None, False
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("name", "doc_id", "first", "bytes")]
-            for n, doc, first, raw in zip(*columns, strict=True):
-                if n != name:
-                    if hot:
-                        yield packed(windows_of(held))
-                    else:
+            columns = [batch.column(c).to_pylist() for c in ("block", "part", "n", "d", "h", "at", "first", "bytes")]
+            for block, part, n, d, h, at, first, raw in zip(*columns, strict=True):
+                own = raw[at : at + gram]
+                if (block, part) != last or own != prefix:  # compared with the neighbour in suffix order
+                    if crowded and held:
+                        yield from covered(held, True)
+                    elif len(held) > 1:  # a lone context repeats nothing
                         ready += held
-                        if sum(len(r[2]) for r in ready) > CHUNK:
-                            yield packed(repeats(ready))
-                            ready = []
-                    held, name, size, hot = [], n, 0, False
-                held.append((doc, first, raw))
-                size += len(raw)
-                if size > (CHUNK // 16 if hot else HOT):
-                    hot, size = True, 0
-                    yield packed(windows_of(held))
-                    held = []
-        if hot:
-            yield packed(windows_of(held))
-        else:
+                        waiting += sum(len(r[3]) for r in held)
+                        if waiting > CHUNK:
+                            yield from covered(ready, False)
+                            ready, waiting = [], 0
+                    held, last, prefix, crowded = [], (block, part), own, n > CROWD
+                held.append((d, h, first, raw))
+        if crowded and held:
+            yield from covered(held, True)
+        elif len(held) > 1:
             ready += held
         if ready:
-            yield packed(repeats(ready))
+            yield from covered(ready, False)
 
-    dealt = contexts.repartition("name").sortWithinPartitions("name")
-    return map_arrow(dealt, ["name", "doc_id", "first", "bytes"], out, work, rows=2048)
+    dealt = contexts.repartitionByRange("block", "part").sortWithinPartitions("block", "part", "rank")
+    return map_arrow(dealt, ["block", "part", "n", "d", "h", "at", "first", "bytes"], out, work, rows=2048)
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, in_memory: int = IN_MEMORY, text_col: str = "text") -> DataFrame:
-    """(doc_id, a, b): byte ranges covered by ``length`` bytes that also start anywhere else."""
-    texts = docs.where("doc_id is not null").select("doc_id", F.col(text_col).alias("text"))
-    out = T.StructType.fromDDL("doc_id long, k int, place int, first int, last int, name long, context long")
+def repeated_ranges(texts: DataFrame, length: int = LENGTH, in_memory: int | None = None) -> DataFrame:
+    """(d, h, a, b): byte ranges covered by ``length`` bytes that also start anywhere else, of ``texts`` (d, h, text)."""
+    gram = min(GRAM, length)
+    texts = texts.where(F.octet_length("text") >= length).select("d", "h", "text")
+    out = T.StructType.fromDDL("d long, h long, k int, place int, first int, last int, name long, context long")
 
     def find(batches):
         for batch in batches:
-            cols = [[] for _ in range(7)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), text_rows(batch), strict=True):
+            cols = [[] for _ in range(8)]
+            for d, h, text in zip(batch.column("d").to_pylist(), batch.column("h").to_pylist(), text_rows(batch), strict=True):
                 raw = text.encode()
-                p, a, b, name = anchors(raw, length)
+                p, a, b, name = anchors(raw, length, gram)
                 if not len(p):
                     continue
                 keys = zip((p - a).tolist(), a.tolist(), b.tolist(), strict=True)
                 # the windows of an anchor as one string, with its place in them
-                seen = [xxhash.xxh64_intdigest(raw[f : t + length], d) for d, f, t in keys]
-                for c, v in zip(cols, (np.full(len(p), doc), np.arange(len(p)), p, a, b, name), strict=False):
+                seen = [xxhash.xxh64_intdigest(raw[f : t + length], n) for n, f, t in keys]
+                for c, v in zip(cols, (np.full(len(p), d), np.full(len(p), h), np.arange(len(p)), p, a, b, name), strict=False):
                     c.append(v)
-                cols[6].append(np.array(seen, dtype=np.uint64).view(np.int64))
-            types = [np.int64, *[np.int32] * 4, np.int64, np.int64]
+                cols[7].append(np.array(seen, dtype=np.uint64).view(np.int64))
+            types = [np.int64] * 2 + [np.int32] * 4 + [np.int64] * 2
             yield record([pa.array(np.concatenate(c or [[]]).astype(t)) for c, t in zip(cols, types, strict=True)], out)
 
-    found = spool(map_arrow(texts, ["doc_id", "text"], out, find))
+    found = spool(map_arrow(texts, ["d", "h", "text"], out, find))
     # equal contexts: all their windows stand twice, and one of them speaks for all
-    rep = F.struct("doc_id", "k", "place", "first", "last")
+    rep = F.struct("d", "h", "k", "place", "first", "last")
     kinds = spool(found.groupBy("name", "context").agg(F.count(F.lit(1)).alias("n"), F.min(rep).alias("rep")))
     twice = kinds.where("n > 1").select("name", "context")
-    sure = found.join(twice, ["name", "context"], "left_semi").select("doc_id", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
-    # names with different contexts
-    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    reps = kinds.select("name", "rep.*").join(several, "name", "left_semi")
-    cut = _sharing_a_name(reps, in_memory).groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "last")).alias("cut"))
-    schema = T.StructType.fromDDL("name long, doc_id long, first int, bytes binary")
+    sure = found.join(twice, ["name", "context"], "left_semi").select("d", "h", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    # a name that stands once shares no prefix with a neighbour
+    several = kinds.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    reps = kinds.select("name", "rep.*").join(several, "name")
+    placed = _blocks(reps, IN_MEMORY if in_memory is None else in_memory)
+    cut = placed.groupBy("d", "h").agg(F.collect_list(F.struct("block", "part", "n", "rank", "place", "first", "last")).alias("cut"))
+    schema = T.StructType.fromDDL("block long, part long, n long, rank long, d long, h long, at int, first int, bytes binary")
 
     def extract(batches):
         for batch in batches:
             rows = []
-            for doc, text, cuts in zip(batch.column("doc_id").to_pylist(), text_rows(batch), batch.column("cut").to_pylist(), strict=True):
+            for d, h, text, cuts in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "cut")), strict=True):
                 raw = text.encode()
-                rows += [(c["name"], doc, c["first"], raw[c["first"] : c["last"] + length]) for c in cuts]
-            yield record([list(c) for c in zip(*rows, strict=True)] or [[]] * 4, schema)
-
-    contexts = map_arrow(texts.join(cut, "doc_id"), ["doc_id", "text", "cut"], schema, extract)
-    compared = spool(_compare(spool(contexts), length))
-    more = compared.where("h is null").select("doc_id", "a", "b")
-    hot = compared.where("h is not null")
-    if hot.limit(1).count():
-        again = hot.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        more = more.union(hot.join(again, "h", "left_semi").select("doc_id", "a", "b"))
+                rows += [
+                    (c["block"], c["part"], c["n"], c["rank"], d, h, c["place"] - c["first"], c["first"], raw[c["first"] : c["last"] + length])
+                    for c in cuts
+                ]
+            yield record([list(c) for c in zip(*rows, strict=True)] or [[]] * 9, schema)
+
+    contexts = spool(map_arrow(texts.join(cut, ["d", "h"]), ["d", "h", "text", "cut"], schema, extract))
+    compared = spool(_compare(contexts, length, gram))
+    more, reported = compared.where("w is null").select("d", "h", "a", "b"), compared.where("w is not null")
+    if reported.limit(1).count():
+        again = reported.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+        more = more.union(reported.join(again, "w", "left_semi").select("d", "h", "a", "b"))
     return sure.union(more)
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, in_memory: int = IN_MEMORY, text_col: str = "text") -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, in_memory: int | None = None, text_col: str = "text") -> DataFrame:
     """Texts without the bytes of any string of ``length`` bytes that stands twice or more.
 
     Returns ``doc_id``, ``n_bytes``, ``spans`` (removed byte ranges, maximal) and ``kept`` (the bytes that
-    are left).  All occurrences go, the first included, and strings are judged on the input.  A null text
-    is empty; a text shorter than ``length`` stays; a null ``doc_id`` stays as it is.  ``doc_id`` is taken
-    to be unique: rows that repeat one are copies, and all their bytes count as repeated if they are long
-    enough.  Other columns are ignored.
+    are left), a row for each row of ``docs``.  All occurrences go, the first included, and strings are
+    judged on the input.  A null text is empty; a text shorter than ``length`` stays.  Every row is a text of
+    its own, whatever its ``doc_id``: rows with null ids are compared like others, different texts under one
+    id keep apart, and repeated rows are copies.  An empty table gives no rows; other columns are ignored.
     """
-    ranges = repeated_ranges(docs, length, in_memory, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
-    joined = docs.select("doc_id", F.col(text_col).alias("text")).join(ranges, "doc_id", "left")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = keyed(texts).select("doc_id", "text", F.col("__d").alias("d"), F.col("__h").alias("h"))
+    ranges = repeated_ranges(texts, length, in_memory).groupBy("d", "h").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
+    joined = texts.join(ranges, ["d", "h"], "left")
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary")
 
     def work(batches):
