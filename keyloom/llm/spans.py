@@ -1,19 +1,20 @@
 """Substring dedup by sliding sentence spans.
 
-From every sentence of a text starts one run of several consecutive sentences.  Runs are hashed and
-joined globally; a sentence goes when any run that covers it was seen earlier, in document order.
+Runs of several consecutive sentences are hashed and joined globally; a sentence goes when any run that
+covers it was seen earlier, in document order.
 
 Passages are often copied from the middle of one sentence to the middle of another, so what counts as a
-sentence here may be a part of one: besides marks and line ends, the word of the smallest hash ends one in
-every ``WINDOW`` words without such an end (winnowing).  Whether a word ends a sentence depends on the
-words less than ``WINDOW`` away only, so copies are cut alike wherever they stand, and a passage of over
-50 words holds a whole run.  In scripts without spaces a character is a word that counts half.
+sentence here may be a part of one: besides marks and line ends, a word of the smallest hash among its
+neighbours ends one (winnowing).  Whether a word ends a sentence depends on the words near it only, so copies
+are cut alike wherever they stand.  Runs start at the sparser of two choices of such ends and may stop at any
+of the denser one, so they are few and yet cover a passage nearly to its edges: a passage of over 50 words
+always holds a whole run, while a common line or two that many texts share are too short for one.  In scripts
+without spaces a character is a word that counts half.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, record, spool, text_rows
+from .common import keyed, map_arrow, record, spool, text_rows
 
-#: A run has at least three sentences and twelve words, or two sentences and sixteen words.
-LEAST_WORDS, PAIR_WORDS = 12, 16
-#: So many consecutive words hold the end of a sentence.  With w of them, a passage of n words is cut alike in all
-#: copies but for w - 1 words at either side; at most w words stand before the first end, and a run has at most
-#: PAIR_WORDS - 1 + w words: n >= 4 * w + PAIR_WORDS - 3 is enough, and holds for 51 words.
-WINDOW = 9
+#: A run has two sentences or more, and at least so many words.
+RUN_WORDS = 30
+#: So many consecutive words hold a sentence's end, and so many the start of a run.  Choices with a window of w
+#: words are alike in all copies but for w - 1 words at either edge.  A run starts within 2 * START - 1 words of a
+#: passage's edge, has at most RUN_WORDS - 1 + PART words, and its end must be PART - 1 words from the other edge:
+#: n >= 2 * START + 2 * PART + RUN_WORDS - 3 is enough, and holds for 51 words.
+PART, START = 3, 9
 #: Words whose hash a worker remembers.
 REMEMBERED = 300_000
 #: A word of more characters is cut by characters as well, and so many of them count as one word.
@@ -40,21 +42,24 @@ _WORD = re.compile(rf"(?:[{_DENSE}]|[^\s{_DENSE}]+)\s*")
 _DENSE_CHAR = re.compile(f"[{_DENSE}]")
 _MARKS = frozenset(".!?\u2026\u203c\u2047\u2048\u2049\u3002\uff0e\uff01\uff1f\uff61\u061f\u06d4\u0589\u0964\u0965\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u0f0d\u0f0e")
 _LINE_ENDS = re.compile("[\n\r\u0085\u2028\u2029]")
+_CLOSING = "\"')]}\u2019\u201d\u00bb\u300d\u300f\uff09"
 
 
 class _Hashes(dict):
-    """Hash of a word with the white space behind it; zero where it ends a sentence by a mark or a line end."""
+    """Hash of a word with the white space behind it; odd where it ends a sentence by a mark or a line end."""
 
     def __missing__(self, word: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
         bare = word.rstrip()
-        ends = bare[-1:] in _MARKS or _LINE_ENDS.search(word, len(bare)) is not None
-        self[word] = h = 0 if ends else zlib.crc32(bare.lower().encode()) | 1
+        ends = bare.rstrip(_CLOSING)[-1:] in _MARKS or _LINE_ENDS.search(word, len(bare)) is not None
+        self[word] = h = xxhash.xxh64_intdigest(bare.lower().encode()) & ~1 | ends
         return h
 
 
 _HASHES = _Hashes()
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def _words(text: str) -> tuple[list[str], np.ndarray | None]:
@@ -76,80 +81,101 @@ def _words(text: str) -> tuple[list[str], np.ndarray | None]:
     return words, None if weights is None else np.array(weights, dtype=np.int64)
 
 
-def _cut(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Words with the white space behind them, and the number and the twelfths of words up to each sentence's end."""
+def _lowest(order: np.ndarray, window: int) -> np.ndarray:
+    """Places of the last of the smallest in each window; ``order`` ends in places counted downwards."""
+    if len(order) < window:
+        return np.zeros(0, dtype=np.int64)
+    size, low = 1, order
+    while size * 2 <= window:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < window:
+        low = np.minimum(low[: len(low) - (window - size)], low[window - size :])
+    return (np.uint64(2**32 - 1) - (low & np.uint64(2**32 - 1))).astype(np.int64)
+
+
+def _cut(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with the white space behind them and their hashes; words up to each sentence's end, and their
+    weight in twelfths; and the sentences at which runs start."""
     words, weights = _words(text)
-    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    ended = h == 0
-    if len(words) >= WINDOW:
-        # the last of the smallest hashes in each window
-        low = (h << np.uint64(32)) | np.arange(2**32 - 1, 2**32 - 1 - len(h), -1, dtype=np.uint64)
-        size = 1
-        while size * 2 <= WINDOW:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < WINDOW:
-            low = np.minimum(low[: len(low) - (WINDOW - size)], low[WINDOW - size :])
-        ended[(np.uint64(2**32 - 1) - (low & np.uint64(2**32 - 1))).astype(np.int64)] = True
+    n = len(words)
+    h = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=n)
+    ended = (h & np.uint64(1)) > 0
+    begun = ended.copy()
+    order = np.where(ended, np.uint64(0), h >> np.uint64(32) << np.uint64(32)) | np.arange(2**32 - 1, 2**32 - 1 - n, -1, dtype=np.uint64)
+    ended[_lowest(order, PART)] = True
+    begun[_lowest(order, START)] = True  # a subset, as the lowest of a window is the lowest of any part of it
+    if n:
+        ended[-1] = begun[-1] = True
     ends = np.flatnonzero(ended) + 1
-    if len(words) and (not len(ends) or ends[-1] < len(words)):
-        ends = np.append(ends, len(words))
-    reach = 12 * ends if weights is None else np.cumsum(weights)[ends - 1] if len(words) else ends
-    return words, ends.tolist(), reach.tolist()
+    reach = 12 * ends if weights is None else np.cumsum(weights)[ends - 1] if n else ends
+    starts = np.flatnonzero(np.r_[True, begun[ends - 1][:-1]]) if n else ends
+    return words, h & ~np.uint64(1), ends, reach, starts
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of a text's sentences; together they cover a text that has a word."""
-    words, ends, _ = _cut(text)
+    words, _, ends, _, _ = _cut(text)
     if not words:
         return []
     reach = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-    stops = (reach[np.array(ends) - 1] + (len(text) - int(reach[-1]))).tolist()  # white space in front is the first's
+    stops = (reach[ends - 1] + (len(text) - int(reach[-1]))).tolist()  # white space in front is the first's
     return list(zip([0, *stops[:-1]], stops, strict=True))
 
 
-def runs(text: str) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, number of sentences) of the run that starts at each sentence.
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first sentence and number of sentences of each run.
 
-    How far a run reaches depends on its own words only, so the same passage gives the same runs
-    wherever it stands.
+    How far a run reaches depends on its own words only, so the same passage gives the same runs wherever it
+    stands; case and white space don't count.  One more run ends with the text, so that copies of whole texts go
+    to the last word; a text too short for a run is one as a whole, which other such texts alone can equal.
     """
-    words, ends, reach = _cut(text)
-    starts, before, out = [0, *ends[:-1]], [0, *reach[:-1]], []
-    pair, least = 12 * PAIR_WORDS, 12 * LEAST_WORDS
-    for i, a in enumerate(starts):
-        j = i + 1
-        while j < len(ends) and reach[j] - before[i] < (pair if j == i + 1 else least):
-            j += 1
-        if j >= len(ends):
-            break
-        key = " ".join("".join(words[a : ends[j]]).lower().split())
-        out.append((xxhash.xxh64_intdigest(key.encode()), i, j - i + 1))
-    return out
-
-
-def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, first, n) of every run that stands earlier as well, smallest (doc_id, sentence) first.
-
-    Repeated rows of one ``doc_id`` are one document with equal texts: their runs have equal places, so
-    none of them is later than another.  Counting comes before the join, so only hashes seen twice or
-    more are joined; a hash that many documents share is split by adaptive execution.
+    words, h, ends, reach, starts = _cut(text)
+    n, least, tag = len(ends), 12 * RUN_WORDS, 0
+    if not n:
+        return np.zeros(0, dtype=np.uint64), ends, ends
+    before, first_word = np.r_[0, reach[:-1]], np.r_[0, ends[:-1]]
+    if reach[-1] < least:
+        first, last, tag = np.zeros(1, dtype=np.int64), np.array([n - 1]), 1
+    else:
+        last = np.maximum(np.searchsorted(reach, before[starts] + least), starts + 1)
+        first, last = starts[last < n], last[last < n]
+        tail = starts[before[starts] + least <= reach[-1]][-1]
+        if not len(first) or first[-1] != tail or last[-1] != n - 1:
+            first, last = np.r_[first, tail], np.r_[last, n - 1]
+    with np.errstate(over="ignore"):
+        up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(words), _BASE)])
+        down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(words), _INVERSE)])
+        total = np.cumsum(np.r_[np.uint64(0), h * up[:-1]], dtype=np.uint64)
+        a, b = first_word[first], ends[last]
+        value = (total[b] - total[a]) * down[a] + ((b - a) * 2 + tag).astype(np.uint64)
+        value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return value ^ (value >> np.uint64(32)), first, last - first + 1
+
+
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(d, h, first, n) of every run that stands earlier as well, by null ids last, ``d``, ``h`` and sentence.
+
+    ``texts`` has ``z``, ``d``, ``h`` and ``text``, as ``common.keyed`` makes them.  Rows that repeat all
+    of them are one document with equal texts: their runs have equal places, so none of them is later than
+    another.  Counting comes before the join, so only hashes seen twice or more are joined; a hash that many
+    documents share is split by adaptive execution.  Runs are told apart by 64-bit hashes.
     """
-    out = T.StructType.fromDDL("doc_id long, h long, first int, n int")
+    out = T.StructType.fromDDL("z boolean, d long, h long, run long, first int, n int")
 
     def work(batches):
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            got = [(i, *r) for i, t in zip(ids, text_rows(batch, text_col), strict=True) for r in runs(t)]
-            h = np.array([g[1] for g in got], dtype=np.uint64).view(np.int64)
-            yield record([[g[0] for g in got], pa.array(h), [g[2] for g in got], [g[3] for g in got]], out)
-
-    all_runs = spool(map_arrow(docs.where("doc_id is not null"), ["doc_id", text_col], out, work))
-    place = F.struct("doc_id", "first")
-    seen = all_runs.groupBy("h").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("c"))
-    seen = seen.where("c > 1").select("h", F.col("p.doc_id").alias("d0"), F.col("p.first").alias("f0"))
+            got = [runs(t) for t in text_rows(batch)]
+            of = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
+            run, first, n = (np.concatenate(c) for c in zip(*got, strict=True))
+            yield record([*(batch.column(c).take(of) for c in ("z", "d", "h")), *map(pa.array, (run.view(np.int64), first.astype(np.int32), n.astype(np.int32)))], out)
+
+    all_runs = spool(map_arrow(texts, ["z", "d", "h", "text"], out, work))
+    place = F.struct("z", "d", "h", "first")
+    seen = all_runs.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("c"))
+    seen = seen.where("c > 1").select("run", F.col("p.d").alias("d0"), F.col("p.h").alias("h0"), F.col("p.first").alias("f0"))
     # written out, so that the join has an exchange of its own and a frequent hash can be split
-    return all_runs.join(spool(seen), "h").where("doc_id <> d0 or first <> f0").select("doc_id", "first", "n")
+    return all_runs.join(spool(seen), "run").where("d <> d0 or h <> h0 or first <> f0").select("d", "h", "first", "n")
 
 
 def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -157,11 +183,15 @@ def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Returns ``doc_id``, ``n_removed`` (sentences), ``spans`` (removed character ranges, joined where they
     touch) and ``kept`` (what is left).  The first occurrence of a passage stays.  A null or empty
-    text has no sentence and gives the empty text; rows come out as often as they go in; a null
-    ``doc_id`` is left as it is; other columns are ignored.
+    text has no sentence and gives the empty text; rows come out as often as they go in.  Null ids come last
+    in document order; rows with null ids or repeated ids but other texts are documents of their own, and
+    rows that repeat id and text are one, of which all stay or go.  An empty table gives no rows; other
+    columns are ignored.
     """
-    spans = repeated_spans(docs, text_col).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("hits"))
-    joined = docs.select("doc_id", F.col(text_col).alias("text")).join(spans, "doc_id", "left")
+    texts = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    texts = texts.select("doc_id", "text", F.col("__z").alias("z"), F.col("__d").alias("d"), F.col("__h").alias("h"))
+    spans = repeated_spans(texts).groupBy("d", "h").agg(F.collect_set(F.struct("first", "n")).alias("hits"))
+    joined = texts.join(spans, ["d", "h"], "left")
     schema = T.StructType.fromDDL(
         "doc_id long, n_removed int, spans array<struct<start:int,stop:int>>, kept string"
     )
