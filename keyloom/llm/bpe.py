@@ -46,6 +46,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """Encoded ids of pieces met so far; a new piece is looked up in the older generation or encoded."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self.encode, self.older, self.held = encode, older, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("I", self.encode(piece.encode())).tobytes()
+        self[piece] = ids
+        self.held += len(piece)
+        return ids
+
+
 class PrefixBpe:
     """Encoder and decoder for a ``tokenizers`` JSON file of a byte-level BPE model."""
 
@@ -70,7 +86,8 @@ class PrefixBpe:
         self.base = [ids[bytes([b])] for b in range(256)]
         self.automaton = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+            if self._is_whole(i):  # other entries of the vocabulary never come out of merging
+                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         for x in spec.get("added_tokens", []):
@@ -80,12 +97,9 @@ class PrefixBpe:
         names = sorted(self.special, key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.pieces = regex.compile(PIECES)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}
         self.spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
+        self.known = _Pieces(self.encode_piece, {})
 
     def _spine(self, token: int, right: bool) -> list[tuple[int, int]]:
         """Edge tokens of ``token`` from its outer byte upwards, each with the rank that consumes it."""
@@ -104,7 +118,7 @@ class PrefixBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the bytes of both tokens leaves just these two tokens."""
-        got = self.fits.get((a, b))
+        got = self.fits.get(a << 32 | b)
         if got is None:
             left, right, i, j, got = self._spine(a, True), self._spine(b, False), 0, 0, True
             while True:
@@ -120,37 +134,38 @@ class PrefixBpe:
                     i += 1
                 else:
                     j += 1
-            self.fits[a, b] = got
+            self.fits[a << 32 | b] = got
         return got
 
     def _is_whole(self, token: int) -> bool:
         """Whether the bytes of a token, merged by rank, give the token itself."""
-        got = self.whole.get(token)
-        if got is None:
-            seq = [self.base[b] for b in self.bytes_of[token]]
-            while len(seq) > 1:
-                r, k = min((self.rank.get((seq[k], seq[k + 1]), FOREVER), k) for k in range(len(seq) - 1))
-                if r == FOREVER:
-                    break
-                seq[k : k + 2] = [self.made[seq[k], seq[k + 1]]]
-            got = self.whole[token] = seq == [token]
-        return got
+        seq = [self.base[b] for b in self.bytes_of[token]]
+        while len(seq) > 1:
+            r, k = min((self.rank.get((seq[k], seq[k + 1]), FOREVER), k) for k in range(len(seq) - 1))
+            if r == FOREVER:
+                break
+            seq[k : k + 2] = [self.made[seq[k], seq[k + 1]]]
+        return seq == [token]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        n = len(piece)
-        last, size = array("q", [-1]) * (n + 1), array("q", [0]) * (n + 1)
+        n, fits = len(piece), self.fits
+        last, back = [-1] * (n + 1), [0] * (n + 1)
         for end, (token, length) in self.automaton.iter(piece.decode("latin-1")):
             end += 1
-            if last[end] >= 0:
+            if last[end] >= 0:  # the last token of this prefix is found
                 continue
             start = end - length
-            if self._is_whole(token) and (start == 0 or self.compatible(last[start], token)):
-                last[end], size[end] = token, length
+            if start:
+                before = last[start]
+                fit = fits.get(before << 32 | token)
+                if not (self.compatible(before, token) if fit is None else fit):
+                    continue
+            last[end], back[end] = token, start
         out = []
         while n:
             out.append(last[n])
-            n -= size[n]
+            n = back[n]
         return out[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -162,17 +177,10 @@ class PrefixBpe:
                 continue
             if self.add_space and part and not part[0].isspace():
                 part = " " + part
-            pieces = self.pieces.findall(part)
-            known = self.known
-            for p in set(pieces).difference(known):
-                ids = self.older.get(p)
-                if ids is None:
-                    ids = b"".join([i.to_bytes(4, "little") for i in self.encode_piece(p.encode())])
-                known[p] = ids
-                self.held += len(p)
-            out += map(known.__getitem__, pieces)
-            if len(known) >= REMEMBERED or self.held > HELD_CHARS:
-                self.older, self.known, self.held = known, {}, 0
+            out += map(self.known.__getitem__, self.pieces.findall(part))
+            if len(self.known) >= REMEMBERED or self.known.held > HELD_CHARS:
+                self.known.older = {}
+                self.known = _Pieces(self.encode_piece, self.known)
                 if len(self.fits) > 4 * REMEMBERED:
                     self.fits.clear()
         return b"".join(out)
@@ -212,7 +220,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Data
 
 
 def digest(encoded: DataFrame) -> DataFrame:
-    """The digest columns of encoded documents."""
+    """The digest columns of encoded documents, a row for each; an empty or null text has the digests of no bytes."""
     return encoded.select(
         "doc_id",
         "n_tokens",
