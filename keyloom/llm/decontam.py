@@ -3,6 +3,8 @@
 Numbers, names and units become typed placeholders; windows of the resulting templates are hashed and
 joined with those of the benchmark.  Where a placeholder's values differ between the two texts, one and
 the same value must always stand for the same other value: then the question was re-parameterised.
+Items without a window of enough literal words (short ones, lists of numbers or names) are looked for by
+their words as they are.
 """
 
 from __future__ import annotations
@@ -10,12 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import KEY, keyed, spool
 
 #: Words in a window, and how many of them must not be placeholders.
 WINDOW, LITERALS = 8, 5
-#: Share of an item's windows, on one diagonal, from which a document counts as contaminated.
-COVERED = 0.2
+#: Share of an item's windows, on one diagonal, from which a document counts as contaminated, and a number of
+#: windows that is enough whatever the share.
+COVERED, ENOUGH = 0.2, 32
+#: Words from which a short item may stand anywhere in a text; of a shorter one the text must be a copy.
+FEWEST = 4
 #: Benchmark windows up to which the benchmark is broadcast (a hash and two integers each).
 BROADCAST_WINDOWS = 1_000_000
 #: Unit words that become a placeholder when they stand alone.
@@ -46,58 +51,78 @@ def template(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(t, r"[\x20\x09-\x0D]+", " ")), " ")
 
 
-def windows(df: DataFrame, key: str) -> DataFrame:
+def plain_words(text: Column) -> Column:
+    """Words as they are but for case and marks."""
+    return F.transform(raw_words(text), lambda w: F.lower(F.translate(w, _MARKS, "")))
+
+
+def windows(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, at, h): position and hash of every template window."""
-    words = df.select(key, template(F.col("text")).alias("w"))
+    words = df.select(*key, template(F.col("text")).alias("w"))
     n = F.size("w") - WINDOW + 1
     hashes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
-    return words.select(key, F.posexplode(hashes).alias("at", "h"))
+    return words.select(*key, F.posexplode(hashes).alias("at", "h"))
+
+
+def plain_windows(df: DataFrame, key: list[str], sizes: list[int]) -> DataFrame:
+    """(key, at, h): position and hash of every window of ``sizes`` words; below ``FEWEST``, of whole texts only."""
+    words = df.select(*key, plain_words(F.col("text")).alias("w"))
+
+    def of_size(m):
+        n = F.size("w") - m + 1
+        fits = (n > 0) if m >= FEWEST else (n == 1)
+        hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.lit(m), F.slice("w", i, m)).alias("h")))
+        return F.when(fits, hashes).otherwise(F.array().cast("array<struct<at:int,h:bigint>>"))
+
+    return words.select(*key, F.explode(F.concat(*map(of_size, sizes))).alias("x")).select(*key, "x.at", "x.h")
 
 
-def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, j, h, n_windows) of the windows with enough literal words."""
-    items = benchmark.where("item_id is not null").select("item_id", F.col("text"))
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item_id, j, m, h, n_windows): windows with enough literal words, and those of items that have none of them."""
+    items = benchmark.where("item_id is not null and text is not null").dropDuplicates(["item_id"]).select("item_id", "text")
     w = items.select("item_id", template(F.col("text")).alias("w")).where(F.size("w") >= WINDOW)
     w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - WINDOW + 1)).alias("i"))
     part = F.slice("w", F.col("i"), WINDOW)
     literal = F.size(F.filter(part, lambda x: ~x.rlike("[\x01\x02\x03]")))
-    w = w.where(literal >= LITERALS).select("item_id", (F.col("i") - 1).alias("j"), F.xxhash64(part).alias("h"))
-    sizes = w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return w.join(sizes, "item_id")
+    w = w.where(literal >= LITERALS).select("item_id", (F.col("i") - 1).alias("j"), F.lit(WINDOW).alias("m"), F.xxhash64(part).alias("h"))
+    rich = spool(w.join(w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")), "item_id"))
+    p = items.join(rich.select("item_id").distinct(), "item_id", "left_anti").select("item_id", plain_words(F.col("text")).alias("w"))
+    p = p.where(F.size("w") > 0).withColumn("m", F.least(F.size("w"), F.lit(WINDOW))).withColumn("n_windows", (F.size("w") - F.col("m") + 1).cast("long"))
+    p = p.select("item_id", "w", "m", "n_windows", F.explode(F.sequence(F.lit(1), F.col("n_windows").cast("int"))).alias("i"))
+    return rich, spool(p.select("item_id", (F.col("i") - 1).alias("j"), "m", F.xxhash64("m", F.slice("w", F.col("i"), F.col("m"))).alias("h"), "n_windows"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs of document and benchmark item that share a passage.
-
-    Returns ``doc_id``, ``item_id``, ``start`` (word of the document where the item's first word would
-    stand), ``n_windows`` (of the item), ``n_matched``, ``n_slots`` (different placeholder values),
-    ``consistent`` and ``verbatim``.  Values are compared where windows matched, on every
-    diagonal that reaches the threshold.  One row is the best diagonal of a pair, a consistent one if there
-    is any; ``consistent`` is false where the values contradict each other, and such a row isn't contamination.  An item shorter than a
-    window matches nothing.  A null or empty text matches nothing; repeated rows of a ``doc_id`` count
-    once; other columns are ignored.
-    """
-    bench = spool(benchmark_windows(benchmark))
+def _diagonals(found: DataFrame, bench: DataFrame) -> DataFrame:
+    """Windows of documents that are windows of items, by document, item and diagonal, where they are enough."""
     small = bench.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = windows(texts, "doc_id").join(F.broadcast(bench) if small else bench, "h")
-    found = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("j")).alias("start")).agg(
-        F.collect_set("j").alias("js"), F.first("n_windows").alias("n_windows")
+    found = found.join(F.broadcast(bench) if small else bench, "h")
+    found = found.groupBy(*KEY, "item_id", (F.col("at") - F.col("j")).alias("start")).agg(
+        F.collect_set("j").alias("js"), F.first("m").alias("m"), F.first("n_windows").alias("n_windows")
     )
     found = found.withColumn("n_matched", F.size("js").cast("long"))
-    best = found.where(F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(COVERED * F.col("n_windows"))))
-    diagonal = F.struct("start", "n_windows", "n_matched", "js")
-    best = spool(best.groupBy("doc_id", "item_id").agg(F.collect_list(diagonal).alias("diagonals")))
+    return found.where(F.col("n_matched") >= F.least(F.lit(ENOUGH), F.greatest(F.lit(1), F.ceil(COVERED * F.col("n_windows")))))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``contaminated`` with the keys of ``keyed`` for the document."""
+    rich, plain = benchmark_windows(benchmark)
+    texts = keyed(docs.select("doc_id", "text").where("text is not null")).select("doc_id", *KEY, "text")
+    found = _diagonals(windows(texts, KEY), rich)
+    sizes = sorted(r.m for r in plain.select("m").distinct().collect())  # WINDOW of them at most
+    if sizes:
+        found = found.unionByName(_diagonals(plain_windows(texts, KEY, sizes), plain))
+    diagonal = F.struct("start", "m", "n_windows", "n_matched", "js")
+    best = spool(found.groupBy(*KEY, "item_id").agg(F.collect_list(diagonal).alias("diagonals")))
     # values of both texts, for the few documents that matched
-    own = texts.join(best.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    own = own.select("doc_id", raw_words(F.col("text")).alias("dw"), template(F.col("text")).alias("dt"))
+    own = texts.join(best.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
+    own = own.select("doc_id", *KEY, raw_words(F.col("text")).alias("dw"), template(F.col("text")).alias("dt"))
     theirs = benchmark.select("item_id", raw_words(F.col("text")).alias("iw"), template(F.col("text")).alias("it"))
-    both = best.join(own, "doc_id").join(theirs.dropDuplicates(["item_id"]), "item_id")
+    both = best.join(own, KEY).join(theirs.dropDuplicates(["item_id"]), "item_id")
     at = lambda a, k: F.try_element_at(F.col(a), k)
 
     def slots(c):
         """Values of an item's words with a placeholder that the document has at the same place, where windows matched."""
-        covered = F.array_distinct(F.flatten(F.transform(c.js, lambda j: F.sequence(j + 1, j + WINDOW))))
+        covered = F.array_distinct(F.flatten(F.transform(c.js, lambda j: F.sequence(j + 1, j + c.m))))
         place = lambda k: F.greatest((k + c.start).cast("int"), F.lit(1))
         pairs = F.transform(
             covered,
@@ -113,21 +138,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     # a row for each diagonal, without the texts
     checked = F.transform("diagonals", lambda c: F.struct(c.start.alias("start"), c.n_windows.alias("n_windows"), c.n_matched.alias("n_matched"), slots(c).alias("p")))
-    both = both.select("doc_id", "item_id", checked.alias("checked")).select("doc_id", "item_id", F.explode("checked").alias("c")).select("doc_id", "item_id", "c.*")
+    ids = ["doc_id", *KEY, "item_id"]
+    both = both.select(*ids, checked.alias("checked")).select(*ids, F.explode("checked").alias("c")).select(*ids, "c.*")
     values = F.size("p")
     consistent = (F.size(F.array_distinct(F.col("p.i"))) == values) & (F.size(F.array_distinct(F.col("p.d"))) == values)
     changed = F.size(F.filter("p", lambda p: p.i != p.d))
     every = both.select(
-        "doc_id", "item_id", "start", "n_windows", "n_matched",
+        *ids, "start", "n_windows", "n_matched",
         changed.alias("n_slots"), consistent.alias("consistent"),
         ((F.col("n_matched") == F.col("n_windows")) & (changed == 0)).alias("verbatim"),
     )
     row = F.struct("start", "n_windows", "n_matched", "n_slots", "consistent", "verbatim")
-    best = every.groupBy("doc_id", "item_id").agg(F.max_by(row, F.struct("consistent", "n_matched", -F.col("start"))).alias("b"))
-    return best.select("doc_id", "item_id", "b.*")
+    best = every.groupBy(*ids).agg(F.max_by(row, F.struct("consistent", "n_matched", -F.col("start"))).alias("b"))
+    return best.select(*ids, "b.*")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Pairs of document and benchmark item that share a passage.
+
+    Returns ``doc_id``, ``item_id``, ``start`` (word of the document where the item's first word would
+    stand), ``n_windows`` (of the item), ``n_matched``, ``n_slots`` (different placeholder values),
+    ``consistent`` and ``verbatim``.  Values are compared where windows matched, on every
+    diagonal that reaches the threshold.  One row is the best diagonal of a pair: a consistent one if there
+    is any, then the one of most windows, then the first; ``consistent`` is false where the values contradict
+    each other, and such a row isn't contamination.  Items of fewer words than a window, and those with no
+    window of enough literal words, match by their words as they are; below ``FEWEST`` words an item
+    matches only a text that is nothing else.  A null or empty text or item matches nothing; rows that repeat id
+    and text count once, different texts under one id each give rows, and null ids are ids; empty tables give
+    no rows; other columns are ignored.
+    """
+    return _matches(docs, benchmark).drop(*KEY)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without those that hold a benchmark passage; all columns are kept."""
-    hits = contaminated(docs, benchmark).where("consistent").select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    """Documents without those that hold a benchmark passage consistently; all columns are kept.
+
+    What counts is the text of a row, so other texts under the same id stay; null and empty texts stay, and
+    repeated rows stay or go together.
+    """
+    hits = _matches(docs, benchmark).where("consistent").select(*KEY).distinct()
+    return keyed(docs).join(hits, KEY, "left_anti").select(*docs.columns)
