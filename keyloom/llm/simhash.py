@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, map_arrow, record, spool, text_rows
+from .common import KEY, components, keyed, map_arrow, record, spool, text_rows
 
 DISTANCE = 3
 #: Fingerprints of one signature that are compared pair by pair; larger groups take ``_ball_edges``.
@@ -39,18 +39,6 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a signed long) of every whole text."""
-    out = T.StructType.fromDDL("doc_id long, fp long")
-
-    def work(batches):
-        for batch in batches:
-            fps = np.array([fingerprint(x, shingle) for x in text_rows(batch, text_col)], dtype=np.uint64)
-            yield record([batch.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))], out)
-
-    return map_arrow(docs, ["doc_id", text_col], out, work)
-
-
 def signatures(fps: DataFrame) -> DataFrame:
     """(fp, sig): the 64 one-wildcard variants of the two halves of each fingerprint."""
     # a half with one of its 32 bits wiped, and above it the number of half and bit
@@ -132,6 +120,26 @@ def links(fps: DataFrame) -> DataFrame:
     return edges.union(_ball_edges(crowded)) if crowded.limit(1).count() else edges
 
 
+def _marked(docs: DataFrame, columns: list[str], shingle: int, text_col: str) -> DataFrame:
+    """``columns`` of every row and ``fp``, the bits of its fingerprint as a signed long."""
+    out = T.StructType([*(docs.schema[c] for c in columns), T.StructField("fp", T.LongType())])
+
+    def work(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(x, shingle) for x in text_rows(batch, text_col)], dtype=np.uint64)
+            yield record([*(batch.column(c) for c in columns), pa.array(fps.view(np.int64))], out)
+
+    return spool(map_arrow(docs, [*columns, text_col], out, work))
+
+
+def _named(marked: DataFrame, least) -> tuple[DataFrame, DataFrame]:
+    """(fp, root) of every fingerprint, and (root, least) with the smallest ``least`` of each component."""
+    nodes = spool(marked.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return named.select("fp", "root"), named.groupBy("root").agg(F.min("least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` of every document.
 
@@ -140,20 +148,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, text_col: str = "text") -
     text of fewer words than a shingle is one shingle; repeated rows come out as often as they go in; a
     null ``doc_id`` is never a component's name unless there is no other.  Other columns are ignored.
     """
-    marked = spool(fingerprints(docs, shingle, text_col))
-    nodes = spool(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
+    marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), ["doc_id"], shingle, "text")
+    roots, names = _named(marked, F.col("doc_id"))
+    by_fp = roots.join(names, "root").select("fp", F.col("least").alias("component_id"))
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, the one of smallest ``doc_id``; all columns stay."""
-    groups = near_duplicates(docs, shingle, text_col)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates, with all its columns.
+
+    It is the one of smallest ``doc_id``, null ids last, and of the smallest text hash where different texts
+    share that id.  Rows with null ids or repeated ids are documents of their own: they go only if their
+    group has another.  Of rows that repeat both id and text one stays.  Null and empty texts are one group.
+    An empty table gives no rows.
+    """
+    rows = keyed(docs, text_col)
+    marked = _marked(rows.select("__z", *KEY, F.col(text_col).alias("text")), ["__z", *KEY], shingle, "text")
+    _, first = _named(marked, F.struct("__z", *KEY))
+    # rows are dealt out once: repeated ones are reduced on the way, then the others of a group go
+    return rows.dropDuplicates(KEY).join(first.select("least.*").select(*KEY), KEY, "left_semi").select(*docs.columns)
