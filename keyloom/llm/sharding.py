@@ -12,14 +12,11 @@ import heapq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import spool
 
 #: Bundles of small groups; also bounds the number of large groups (total / BUNDLES bytes and up).
 BUNDLES = 4096
-#: Rows that one task numbers at most, about.
-SLICE_ROWS = 200_000
 
 
 def differencing(sizes: list[int], shards: int) -> list[int]:
@@ -56,10 +53,10 @@ def balance(docs: DataFrame, shards: int = 16, text_col: str = "text") -> DataFr
     """Put documents into shards of nearly equal bytes; equal texts stay together.
 
     Returns ``doc_id``, ``size`` (UTF-8 bytes plus one), ``text_crc32``, ``shard`` and ``slot``
-    (gapless from 0 in each shard, by slice and ``doc_id``).  Null counts as the empty text; repeated
-    rows each get a slot; an empty table gives no rows; other columns are ignored.  A group larger than
-    a shard's share has a shard nearly to itself.  What reaches the driver is bounded: at most
-    ``BUNDLES`` bundles, ``BUNDLES`` large groups and a count for each numbering slice.
+    (gapless from 0 in each shard, by ``doc_id``).  Null counts as the empty text; repeated rows each get
+    a slot; an empty table gives no rows; other columns are ignored.  A group larger than a shard's share
+    has a shard nearly to itself.  What reaches the driver doesn't grow with the rows: at most ``BUNDLES``
+    bundles, ``BUNDLES`` large groups and a count for each shard in each shuffle partition.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -69,7 +66,7 @@ def balance(docs: DataFrame, shards: int = 16, text_col: str = "text") -> DataFr
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(text.cast("binary"))).alias("grp"),
     )
-    rows = spool(rows)
+    rows = spool(rows.withColumn("row", F.monotonically_increasing_id()))
     groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     total, n_rows = rows.agg(F.sum("size"), F.count(F.lit(1))).first()
     floor = max((total or 0) // BUNDLES, 1)
@@ -88,16 +85,17 @@ def balance(docs: DataFrame, shards: int = 16, text_col: str = "text") -> DataFr
     # both tables have at most BUNDLES rows
     put = rows.withColumn("bundle", bundle).join(F.broadcast(by_group), "grp", "left")
     put = put.join(F.broadcast(by_bundle), "bundle", "left").withColumn("shard", F.coalesce("own_shard", "bundle_shard"))
-    slices = max(1, -(-(n_rows or 0) // SLICE_ROWS), 16)
-    put = put.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)).cast("int"))
-    counts = put.groupBy("shard", "slice").count().collect()
+    # numbered over a range partitioning, in which no shard, id or text has to stay in one task
+    order = ["shard", "doc_id", "text_crc32", "row"]
+    put = put.select("doc_id", "size", "text_crc32", "shard", "row").repartitionByRange(*order).sortWithinPartitions(*order)
+    put = spool(put.withColumn("m", F.monotonically_increasing_id()).drop("row"))
+    put = put.withColumn("part", F.shiftright("m", 33)).withColumn("ix", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = put.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ix").alias("low")).collect()
     starts, at = [], {}
-    for r in sorted(counts, key=lambda r: (r.shard, r.slice)):
-        starts.append((r.shard, r.slice, at.get(r.shard, 0)))
-        at[r.shard] = at.get(r.shard, 0) + r["count"]
-    starts = spark.createDataFrame(starts, "shard int, slice int, start long")
-    order = Window.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    put = put.select("doc_id", "size", "text_crc32", "shard", "slice")
-    return put.withColumn("k", F.row_number().over(order) - 1).join(F.broadcast(starts), ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("k")).cast("long").alias("slot")
+    for r in sorted(counts, key=lambda r: (r.shard, r.part)):
+        starts.append((r.shard, r.part, at.get(r.shard, 0) - r.low))
+        at[r.shard] = at.get(r.shard, 0) + r.n
+    starts = spark.createDataFrame(starts, "shard int, part long, start long")
+    return put.join(F.broadcast(starts), ["shard", "part"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("ix")).alias("slot")
     )
