@@ -220,7 +220,11 @@ def quality_rules(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) ->
 
 
 def keep_good(docs: DataFrame, model: FlatTrees, threshold: float = 0.5) -> DataFrame:
-    """The documents that the rules keep, with all their columns; nothing is shuffled."""
+    """The documents that the rules keep, with all their columns; nothing is shuffled.
+
+    Each row is judged by its text alone: null and empty texts go, as they have no words; repeated rows, null ids
+    and repeated ids are judged like any other; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):

@@ -245,9 +245,10 @@ def find_secrets(docs: DataFrame, forest: FlatForest, threshold: float = 0.5, te
 
 
 def redact(docs: DataFrame, forest: FlatForest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents with every secret in the text replaced by ``MASK``; all columns are kept; null stays null.
+    """The documents with every secret in the text replaced by ``MASK``; all columns are kept.
 
-    A column ``n_chars``, where there is one, follows a text that changed.
+    A column ``n_chars``, where there is one, follows a text that changed.  Null and empty texts stay as they are;
+    rows come out as often as they go in, whatever their ids; an empty table gives no rows.
     """
     hits = F.filter(scored(F.col(text_col), forest), lambda c: c.score >= threshold)
     # longest first, as one secret may hold another

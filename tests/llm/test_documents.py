@@ -8,8 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm import bpe, common, decontam, langid, quality, queries, secrets, sharding, simhash, spans, suffixes, svm, toxicity
 
@@ -50,10 +52,42 @@ def nothing(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", OPS)
 def test_edges(spark, edge, nothing, name):
     run = queries.queries()[name]
-    n = run(spark, edge).count()
+    rows = run(spark, edge).collect()
     assert run(spark, nothing).count() == 0
-    if name not in ("op6_decontamination", "op8_secret_scan", "pipeline"):
-        assert n == len(EDGE)
+    if name in ("op6_decontamination", "op8_secret_scan", "pipeline"):
+        assert not rows  # no item, no candidate, and no text that the quality rules keep
+        return
+    texts, at = dict(EDGE), {}
+    assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in EDGE)
+    for r in rows:
+        if name != "op10_sharding":
+            assert at.setdefault(r.doc_id, r) == r  # repeated rows have equal results
+        at[r.doc_id] = r
+    nulls, sha = [at[None], at[1], at[2]], lambda t: hashlib.sha256(t.encode()).hexdigest()
+    if name == "op1_quality_rules":
+        assert all((r.n_words, r.word_chars, r.base_failed, r.kept) == (0, 0, True, False) for r in [*nulls, at[3]])
+        assert (at[7].n_words, at[7].word_chars, at[7].n_repeat_words, at[7].kept) == (40001, 210000, 40000, False)
+        assert (at[8].n_words, at[8].n_dup_lines, at[9].n_symbols) == (60, 29, 0)
+    elif name == "op2_language_id":
+        assert all((r.lang_pred, r.score) == ("und", 0.0) for r in [*nulls, at[3]]) and at[4].lang_pred == "en" and not at[None].held_out
+    elif name == "op3_bpe":
+        assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == (0, sha(""), sha("")) for r in nulls)
+        assert all(at[i].decoded_sha256 == sha(texts[i]) for i in (3, 4, 5, 6, 7, 8, 9)) and at[4].ids_sha256 == at[5].ids_sha256
+    elif name == "op4_toxicity":
+        assert len({(r.score, r.predicted) for r in nulls}) == 1 and all(0 <= r.score <= 1 for r in rows)
+        assert at[4].score == at[5].score and all(r.predicted == (r.score >= 0.5) for r in rows)
+    elif name == "op5_sentence_spans":
+        assert [(at[i].n_removed, at[i].kept_sha256) for i in (None, 1, 2, 3, 4)] == [(0, sha(texts[i] or "")) for i in (None, 1, 2, 3, 4)]
+        assert all((at[i].n_spans, at[i].n_chars_kept) == (1, 0) for i in (5, 6))  # later copies of a short text
+        assert at[7].n_chars_kept < 60_000 and 0 < at[8].n_chars_kept < 280
+    elif name == "op7_simhash_dedup":
+        assert all((r.fingerprint, r.component_id) == ("0" * 16, 1) for r in [*nulls, at[3]]) and at[6].component_id == 4
+    elif name == "op9_suffix_dedup":
+        assert all((r.n_bytes, r.n_removed, r.n_spans) == (0, 0, 0) for r in nulls)
+        assert (at[7].n_removed, at[7].n_spans, at[7].kept_sha256) == (250_000, 1, sha("")) and at[8].n_removed == at[4].n_removed == 0
+    else:
+        assert sorted(r.slot for r in rows if r.shard == at[5].shard)[:1] == [0] and all(r.size == 1 for r in nulls)
+        assert len({at[i].shard for i in (4, 5, 6)}) == 1 and len({(r.shard, r.slot) for r in rows}) == len(rows)
 
 
 def test_quality_counts_and_verdict(spark, docs):
@@ -140,44 +174,90 @@ def test_worst_words_are_weighed():
     assert model.tops(["", "abc", "abc abc", "abc def ghi jkl"]).tolist() == [[-1, -1, -1], [0.5, -1, -1], [0.5, -1, -1], [0.5, 0.5, 0.5]]
 
 
+def brute_ends(text):
+    """Words of a text without dense scripts or very long words, and where sentences end and runs start."""
+    words = re.findall(r"\S+\s*", text)
+    h = [xxhash.xxh64_intdigest(w.strip().lower().encode()) >> 32 for w in words]
+    mark = [w.rstrip().rstrip("\"')]}’”»")[-1:] in list(".!?…") or bool(re.search("[\n\r\x85\u2028\u2029]", w[len(w.rstrip()) :])) for w in words]
+    h = [-1 if m else x for x, m in zip(h, mark, strict=True)]
+
+    def chosen(width):
+        got = {len(words) - 1}
+        for i in range(len(words) - width + 1):
+            got.add(max(range(i, i + width), key=lambda k: (-h[k], k)))
+        return got | {k for k, m in enumerate(mark) if m}
+
+    return words, sorted(chosen(spans.PART)), chosen(spans.START)
+
+
+def brute_runs(text):
+    """(normalised text, first sentence, number of sentences) of every run."""
+    words, ends, begun = brute_ends(text)
+    if not words:
+        return []
+    plain = [w.strip().lower() for w in words]
+    first = [0, *[e + 1 for e in ends[:-1]]]
+    if len(words) < spans.RUN_WORDS:
+        return [("whole " + " ".join(plain), 0, len(ends))]
+    out, tail = set(), None
+    for k, a in enumerate(first):
+        if k and ends[k - 1] not in begun:
+            continue
+        stop = next((j for j in range(k + 1, len(ends)) if ends[j] + 1 - a >= spans.RUN_WORDS), None)
+        if stop is not None:
+            out.add((" ".join(plain[a : ends[stop] + 1]), k, stop - k + 1))
+        if len(words) - a >= spans.RUN_WORDS:
+            tail = (" ".join(plain[a:]), k, len(ends) - k)
+    return [*out, *({tail} - out)]
+
+
 def test_sentence_spans(spark, docs):
-    passage = "A first sentence of this passage stands here. Then comes a second one with more words. A third one ends it."
-    rows = [(1, f"Intro text one. {passage} Some end."), (2, f"Other start of it. {passage} Another end."), (3, f"{passage} {passage}"), (4, "Nothing that repeats. At all in here. Not one bit of it.")]
-    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].n_removed == 0 and got[1].kept == rows[0][1] and got[4].n_removed == 0
-    assert "second" not in got[2].kept and got[2].kept.startswith("Other start") and got[2].kept.endswith("Another end.")
-    assert "second" not in got[3].kept
+    texts = {i: t for i, t in docs.items() if not spans._DENSE_CHAR.search(t) and max(map(len, t.split()), default=0) <= spans.LONG_WORD}
+    assert len(texts) > 0.8 * len(docs)
+    first, found = {}, {i: brute_runs(texts[i]) for i in sorted(texts)}
+    for i, own in found.items():
+        for key, k, _ in own:
+            first[key] = min(first.get(key, (i, k)), (i, k))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    removed = 0
+    for r in spans.dedup_spans(df).collect():
+        gone = {k + j for key, k, n in found[r.doc_id] if first[key] != (r.doc_id, k) for j in range(n)}
+        words, ends, _ = brute_ends(texts[r.doc_id])
+        assert r.n_removed == len(gone)
+        kept = "".join("".join(words[a : e + 1]) for k, (a, e) in enumerate(zip([0, *[e + 1 for e in ends]], ends, strict=False)) if k not in gone)
+        assert r.kept.strip() == kept.strip()
+        removed += bool(gone)
+        assert "".join(texts[r.doc_id][a:b] for a, b in spans.sentences(texts[r.doc_id])) == texts[r.doc_id] or not words
+    assert removed > 10
+
+
+def test_copies_go_and_common_lines_stay(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
-    long = " ".join(word() for _ in range(55))  # a passage of over 50 words without any mark, inside sentences
-    rows = [(i, " ".join(word() for _ in range(30)) + " " + long + " " + " ".join(word() for _ in range(30))) for i in range(3)]
-    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].n_removed == 0 and all(len(rows[i][1]) - len(got[i].kept) > len(long) / 4 for i in (1, 2))
-    for text in docs.values():
-        cover = spans.sentences(text)
-        assert not text.split() or "".join(text[a:b] for a, b in cover) == text
-    first: dict = {}
-    for i in sorted(docs):
-        for h, k, _ in spans.runs(docs[i]):
-            first.setdefault(h, (i, k))
-    want = {}
-    for i in docs:
-        gone = {k + j for h, k, n in spans.runs(docs[i]) if first[h] != (i, k) for j in range(n)}
-        want[i] = len(gone)
-    assert {r.doc_id: r.n_removed for r in queries.op5_sentence_spans(spark, D).collect()} == want
+    some = lambda n: " ".join(word() for _ in range(n))
+    line, long, whole = "A line. That many texts. Share as it is.", some(55), some(80) + ". " + some(20) + "."
+    rows = [(i, f"{some(40)} {long} {some(30)}") for i in range(3)] + [(10 + i, f"{some(30)}.\n{line}\n{some(40)}") for i in range(5)]
+    rows += [(20, whole), (21, whole), (22, "One. Two. Three four five."), (23, "one. two. Three four  five."), (24, f"One. Two. Three four five. {some(40)}")]
+    rows += [(30, None), (31, ""), (None, whole), (32, f"{whole} {whole}"), (40, some(60)), (40, some(60))]
+    got = {}
+    for r in spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert all(r.n_removed == 0 for i in (0, 10, 11, 12, 13, 14, 20, 22, 24, 30, 31, 40) for r in got[i])
+    assert all(len(dict(rows)[i]) - len(got[i][0].kept) > len(long) / 2 for i in (1, 2))
+    assert got[21][0].kept == got[23][0].kept == got[None][0].kept == "" and len(got[32][0].kept) < 60 and len(got[40]) == 2
 
 
 @pytest.mark.parametrize("kind", ["words", "one word", "uncut words", "han", "thai", "unspaced"])
 def test_passages_without_marks_hold_a_run(kind):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
-    few = [w for w in (f"w{i}" for i in range(60)) if zlib.crc32(w.encode()) % 10][:3]
+    few = ["some", "of", "them"]
     make, n, join = {
         "words": (word, 51, " "),
         "one word": (lambda: few[0], 51, " "),
         "uncut words": (lambda: rng.choice(few), 51, " "),
-        "han": (lambda: chr(rng.randint(0x4E00, 0x9F00)), 66, ""),
-        "thai": (lambda: chr(rng.randint(0xE01, 0xE2E)), 66, ""),
+        "han": (lambda: chr(rng.randint(0x4E00, 0x9F00)), 102, ""),
+        "thai": (lambda: chr(rng.randint(0xE01, 0xE2E)), 102, ""),
         "unspaced": (lambda: rng.choice("abcdefghijklmnop"), 320, ""),
     }[kind]
     for _ in range(200):
@@ -186,8 +266,7 @@ def test_passages_without_marks_hold_a_run(kind):
         if kind == "one word":
             around = [" ".join(word() for _ in range(80)) for _ in range(4)]
         one, two = (join.join([around[i], passage, around[i + 1]]) for i in (0, 2))
-        shared = {h for h, _, _ in spans.runs(one)} & {h for h, _, _ in spans.runs(two)}
-        assert shared
+        assert set(spans.runs(one)[0].tolist()) & set(spans.runs(two)[0].tolist())
     assert len(spans.sentences("第一句在这里。第二句也在这里。" * 3)) >= 6
 
 
@@ -206,6 +285,59 @@ def test_decontamination(spark):
     assert decontam.contaminated(loud, plain).where("consistent").count() == 1
 
 
+def test_short_and_literal_poor_items(spark):
+    numbers = "compute 12 + 45 + 78 and 9 * 3 + 5 - 7 then 100 / 4"
+    bench = [(1, numbers), (2, "Name the capital of France"), (3, "yes"), (4, None), (5, "")]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    rows = [(1, f"so we {numbers} at last"), (2, "compute 7 + 8 and 9 * 33 + 51 - 72 then 13 / 9"), (3, "name the capital of France, now"), (4, "Yes."), (5, "yes it is"), (6, None), (7, ""), (None, numbers), (3, "other text under the same id as before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "h": F.lit(1)})
+    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).where("consistent").collect()} == {(1, 1), (3, 2), (4, 3), (None, 1)}
+    left = decontam.decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 6, 7]
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    """Every window of every text compared with every window of every item, by templates built word by word."""
+    marks = str.maketrans("", "", "_.,;:!?\"'()[]{}«»„“”‘’*&$#%|<>")
+    clean = lambda w: w.translate(marks)
+
+    def template(text):
+        out, raw = [], [w for w in re.split(r"[\x20\x09-\x0D]+", text) if clean(w)]
+        t = regex.sub(r"(?<=[\p{Ll},;:] )\p{Lu}\p{Ll}[\p{L}'-]*", "\2", text)
+        t = re.sub(r"[0-9]+(?:[.,:/][0-9]+)*", "\1", t)
+        for w in re.split(r"[\x20\x09-\x0D]+", t):
+            w = clean(w).lower()
+            if w:
+                unit = regex.match(r"(?:" + "|".join(decontam.UNITS) + r")(?!\p{L})", w) if out and out[-1].endswith("\1") else None
+                out.append(w if not unit else "\3" + w[unit.end() :])
+        return [clean(w).lower() for w in raw], out
+
+    items = {r.item_id: template(r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()}
+    where = {}
+    for i, (_, t) in items.items():
+        for j in range(len(t) - 7):
+            if sum(not re.search("[\1\2\3]", w) for w in t[j : j + 8]) >= 5:
+                where.setdefault(tuple(t[j : j + 8]), []).append((i, j))
+    sizes = Counter(i for v in where.values() for i, _ in v)
+    want = {}
+    for d, text in docs.items():
+        raw, t = template(text)
+        hits = {}
+        for a in range(len(t) - 7):
+            for i, j in where.get(tuple(t[a : a + 8]), ()):
+                hits.setdefault((i, a - j), set()).add(j)
+        for (i, start), js in hits.items():
+            if len(js) < min(32, max(1, -(-sizes[i] // 5))):
+                continue
+            iraw, it = items[i]
+            places = {j + k for j in js for k in range(8)}
+            pairs = {(iraw[k], raw[k + start]) for k in places if re.search("[\1\2\3]", it[k]) and 0 <= k + start < len(t) and it[k] == t[k + start]}
+            good = len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs})
+            want[d, i] = want.get((d, i), False) or good
+    got = {(r.doc_id, r.item_id): r.consistent for r in queries.op6_decontamination(spark, D).collect()}
+    assert got == want and any(got.values())
+
+
 def test_every_diagonal_is_checked(spark):
     item = "If Alice buys 12 apples for 3 dollars each and Bob buys 12 pears, how many fruits does Alice own after 12 days of trade?"
     wrong = "so if Carol buys 15 apples for 4 dollars each and Dave buys 99 pears, how many fruits does Carol own after 15 days of trade? yes"
@@ -267,6 +399,24 @@ def test_links_of_crowds(spark, monkeypatch, pairwise):
             assert same == (want[i] == want[j])
 
 
+def test_keep_first_loses_no_document(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red orange yellow green blue indigo violet")
+    rows = [(None, a), (None, b), (5, a), (7, c), (7, c), (7, "quite another text under the same id"), (9, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "root": F.lit(1), "least": F.lit(2)})
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, b), (5, a), (7, c), rows[5], (8, "")])
+
+
+def test_text_passes_leave_the_session_alone(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(i, "x" * 10) for i in range(1000)], "doc_id long, text string").coalesce(1)
+    out = T.StructType.fromDDL("n long")
+    sizes = common.map_arrow(df, ["text"], out, lambda bs: (common.record([[b.num_rows]], out) for b in bs), rows=300)
+    assert spark.conf.get(name) == before and [r.n for r in sizes.collect()] == [300, 300, 300, 100]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(5, 5), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in common.components(edges).collect()}
@@ -324,7 +474,7 @@ def test_suffix_ranks(spark, n, letters, memory):
 @pytest.mark.parametrize("hot", [False, True])
 def test_byte_dedup(spark, docs, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(suffixes, "HOT", 2000)
+        monkeypatch.setattr(suffixes, "CROWD", 7)
         monkeypatch.setattr(suffixes, "CHUNK", 1600)
     length, rng = 60, random.Random(3)
     base = "".join(rng.choice("abc é") for _ in range(2000))
@@ -342,10 +492,48 @@ def test_byte_dedup(spark, docs, monkeypatch, hot):
         assert sum(s.stop - s.start for s in r.spans) == sum(cover) and r.n_bytes == len(t)
 
 
-def test_byte_digests(spark, docs):
+def test_suffix_order_decides(spark, monkeypatch):
+    """With ranks of another order nothing but equal contexts is found; with the right one all is, also far from the driver."""
+    rng = random.Random(2)
+    letters = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    passage = letters(700)
+    rows = [(i, letters(300) + passage[i * 20 : 600 + i * 10] + letters(300)) for i in range(6)]
+    rows += [(None, passage[100:650]), (3, letters(100) + passage[:650]), (50, letters(900)), (50, letters(900))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = [t.encode() for _, t in rows]
+    counts = Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
+    want = Counter()
+    for (i, _), t in zip(rows, raw, strict=True):
+        cover = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if counts[t[k : k + 400]] > 1:
+                cover[k : k + 400] = b"\1" * 400
+        want[i, sum(cover)] += 1
+    removed = lambda: Counter((r.doc_id, sum(s.stop - s.start for s in r.spans)) for r in suffixes.dedup_bytes(df).collect())
+    monkeypatch.setattr(suffixes, "IN_MEMORY", 4)
+    assert removed() == want and sum(n > 0 for _, n in want) > 6
+
+    right = suffixes.suffix_ranks
+
+    def shuffled(seq, in_memory):
+        return right(seq, in_memory).withColumn("rank", F.row_number().over(suffixes.Window.orderBy(F.xxhash64("pos"))).cast("long"))
+
+    monkeypatch.setattr(suffixes, "suffix_ranks", shuffled)
+    assert removed() != want
+
+
+def test_byte_digests(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "IN_MEMORY", 500)  # the distributed sort
+    raw = {i: t.encode() for i, t in docs.items()}
+    counts = Counter(hash(t[k : k + 400]) for t in raw.values() for k in range(len(t) - 399))
     for r in queries.op9_suffix_dedup(spark, D).collect():
-        if not r.n_removed:
-            assert r.kept_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+        t, cover = raw[r.doc_id], bytearray(len(raw[r.doc_id]))
+        for k in range(len(t) - 399):
+            if counts[hash(t[k : k + 400])] > 1:
+                cover[k : k + 400] = b"\1" * 400
+        kept = bytes(b for b, c in zip(t, cover, strict=True) if not c)
+        assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(t), sum(cover), hashlib.sha256(kept).hexdigest())
+        assert r.n_spans == len(re.findall(b"\1+", bytes(cover)))
 
 
 def test_sharding(spark, docs):
