@@ -75,12 +75,12 @@ COMMANDS = {
 #: Where a command's data semantics live; the rest concern a connection or a server process only.
 MODULES = {
     "operators.strings": (
-        "GET MGET SET SETNX GETSET GETDEL SETEX PSETEX STRLEN APPEND GETRANGE SUBSTR SETRANGE INCR DECR INCRBY DECRBY "
+        "GET MGET SET SETNX GETSET GETDEL GETEX SETEX PSETEX STRLEN APPEND GETRANGE SUBSTR SETRANGE INCR DECR INCRBY DECRBY "
         "INCRBYFLOAT MSET MSETNX MSETEX DELIFEQ"
     ),
     "operators.ttl": (
-        "GETEX EXPIRE PEXPIRE EXPIREAT PEXPIREAT TTL PTTL EXPIRETIME PEXPIRETIME PERSIST HEXPIRE HPEXPIRE HEXPIREAT "
-        "HPEXPIREAT HTTL HPTTL HEXPIRETIME HPEXPIRETIME HPERSIST HGETEX"
+        "EXPIRE PEXPIRE EXPIREAT PEXPIREAT TTL PTTL EXPIRETIME PEXPIRETIME PERSIST HEXPIRE HPEXPIRE HEXPIREAT "
+        "HPEXPIREAT HTTL HPTTL HEXPIRETIME HPEXPIRETIME HPERSIST"
     ),
     "operators.generic": (
         "DEL UNLINK EXISTS TYPE TOUCH KEYS SCAN DBSIZE RANDOMKEY RENAME RENAMENX COPY MOVE SWAPDB FLUSHDB FLUSHALL "
@@ -94,7 +94,7 @@ MODULES = {
     ),
     "operators.hashes": (
         "HSET HMSET HSETNX HGET HMGET HGETALL HKEYS HVALS HLEN HEXISTS HSTRLEN HDEL HINCRBY HINCRBYFLOAT HGETDEL "
-        "HSETEX"
+        "HGETEX HSETEX"
     ),
     "operators.sets": (
         "SADD SREM SMEMBERS SISMEMBER SMISMEMBER SCARD SMOVE SINTER SUNION SDIFF SINTERCARD SINTERSTORE SUNIONSTORE "
@@ -112,10 +112,7 @@ MODULES = {
         "PFADD PFCOUNT PFMERGE PFDEBUG"
     ),
     "plans.fold": (
-        "MULTI EXEC DISCARD WATCH UNWATCH CLIENT"
-    ),
-    "streaming.processors": (
-        "BLPOP BRPOP BLMOVE BRPOPLPUSH BLMPOP BZPOPMIN BZPOPMAX BZMPOP"
+        "MULTI EXEC DISCARD WATCH UNWATCH CLIENT BLPOP BRPOP BLMOVE BRPOPLPUSH BLMPOP BZPOPMIN BZPOPMAX BZMPOP"
     ),
     "plans.persist": (
         "WAIT CLUSTER SAVE BGSAVE LASTSAVE"
@@ -129,8 +126,8 @@ MODULES = {
 }
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    """COMMAND: one row for each command with its family, arity, class, flags and module (null: none needed)."""
+def catalog_rows() -> list[tuple]:
+    """(name, family, arity, exact, class, writes, may_grow, module) of each command; module is None where none is needed."""
     where = {name: module for module, names in MODULES.items() for name in names.split()}
     rows = []
     for family, names in COMMANDS.items():
@@ -138,6 +135,10 @@ def catalog(spark: SparkSession) -> DataFrame:
             name, arity, kind, flags = entry.split(":")
             exact, least = arity.startswith("="), int(arity.lstrip(">="))
             rows.append((name, family, least, exact, kind, "W" in flags, "D" in flags, where.get(name)))
-    return spark.createDataFrame(
-        rows, "name string, family string, arity int, exact boolean, class string, writes boolean, may_grow boolean, module string"
-    )
+    return rows
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    """COMMAND: the catalog as a table."""
+    schema = "name string, family string, arity int, exact boolean, class string, writes boolean, may_grow boolean, module string"
+    return spark.createDataFrame(catalog_rows(), schema)

@@ -148,6 +148,21 @@ def lex_within(c, low: str, high: str) -> Column:
     return bound(low, False) & bound(high, True)
 
 
+def fnv1a(data) -> Column:
+    """64-bit FNV-1a of bytes, as a signed long, in the JVM."""
+    hexed = F.hex(col(data).cast("binary"))
+    n = (F.length(hexed) / 2).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    whole = F.lit("18446744073709551616").cast("decimal(38,0)")
+
+    def step(h, i):
+        mixed = h.bitwiseXOR(F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))
+        wide = F.pmod(F.pmod(mixed.cast("decimal(20,0)"), whole).cast("decimal(20,0)") * F.lit(1099511628211).cast("decimal(13,0)"), whole)
+        return F.when(wide >= F.lit("9223372036854775808").cast("decimal(38,0)"), wide - whole).otherwise(wide).cast("bigint")
+
+    return F.aggregate(places, F.lit(-3750763034362895579), step)
+
+
 def hash_tag(key) -> Column:
     """What a key is hashed by: the text between the first brace and the next closing one, if any."""
     key = col(key)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.exprs import canonical_int, glob_match
+from keyloom.functions.exprs import canonical_int, glob_match, key_slot
 from keyloom.sources.model import KEY
 
 #: Default limits of the small encodings (entries, bytes of the longest element).
@@ -54,14 +54,27 @@ def dbsize(keys: DataFrame) -> DataFrame:
 
 
 def random_rows(df: DataFrame, by: str, n: int = 1, seed: int = 0) -> DataFrame:
-    """RANDOMKEY, SPOP, SRANDMEMBER, HRANDFIELD, ZRANDMEMBER: distinct rows in a seeded random order."""
+    """RANDOMKEY: distinct rows of the whole table in a seeded random order."""
     return df.orderBy(F.xxhash64(F.lit(seed), by), by).limit(n)
 
 
+def random_members(df: DataFrame, by: str, n: int = 1, seed: int = 0) -> DataFrame:
+    """SRANDMEMBER, HRANDFIELD and ZRANDMEMBER with a positive count: up to ``n`` distinct rows of each key.
+
+    The rank filter lets Spark cut every key to ``n`` rows before it shuffles.
+    """
+    w = Window.partitionBy(*KEY).orderBy(F.xxhash64(F.lit(seed), "key", by), by)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("rank")
+
+
+def random_pop(df: DataFrame, by: str, n: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """SPOP: up to ``n`` members of each key, and the rows that are left."""
+    popped = random_members(df, by, n, seed)
+    return popped, df.join(popped.select(*KEY, by), [*KEY, by], "left_anti")
+
+
 def random_repeats(df: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
     """The forms with a negative count: ``n`` draws with repeats from the rows of each key."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*KEY).orderBy(by)
     ranked = df.withColumn("i", F.row_number().over(w) - 1)
     sizes = df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("size"))
@@ -73,8 +86,10 @@ def random_repeats(df: DataFrame, by: str, n: int, seed: int = 0) -> DataFrame:
 def rename(df: DataFrame, source: str, target: str, nx: bool = False) -> DataFrame:
     """RENAME and RENAMENX of one key in any table: it takes the place of the target.
 
-    With ``nx`` nothing changes where the target exists.
+    With ``nx`` nothing changes where the target exists.  A key renamed to itself stays as it is.
     """
+    if source == target:
+        return df
     if nx:
         taken = df.where(F.col("key") == target).select("db").distinct().withColumn("taken", F.lit(True))
         df = df.join(taken, "db", "left")
@@ -152,3 +167,13 @@ def memory_usage(df: DataFrame, *columns: str, overhead: int = 56) -> DataFrame:
     own = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0))
     got = df.groupBy(*KEY).agg(F.sum(own + overhead).alias("b"))
     return got.select(*KEY, (F.col("b") + F.octet_length("key")).alias("bytes"))
+
+
+def count_keys_in_slot(keys: DataFrame) -> DataFrame:
+    """CLUSTER COUNTKEYSINSLOT for every slot that has keys."""
+    return keys.withColumn("slot", key_slot("key")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def keys_in_slot(keys: DataFrame, slot: int, count: int) -> DataFrame:
+    """CLUSTER GETKEYSINSLOT: the first ``count`` keys of a slot."""
+    return keys.where(key_slot("key") == slot).select("key").orderBy("key").limit(count)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.exprs import I64_MAX, I64_MIN
 from keyloom.sources.model import KEY
 
 FIELD = [*KEY, "field"]
@@ -30,10 +31,28 @@ def hsetnx(writes: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def hmget(hash_: DataFrame, fields: DataFrame) -> DataFrame:
-    """HGET and HMGET for every key: (pos, field) in argument order, null for a missing field."""
-    keys = hash_.select(*KEY).distinct().withColumn("asked", F.lit(1))
-    asked = keys.join(F.broadcast(fields.withColumn("asked", F.lit(1))), "asked").drop("asked")  # an argument list
-    return asked.join(hash_, FIELD, "left").select(*KEY, "pos", "field", "value")
+    """HGET and HMGET for every key: (pos, field) in argument order, null for a missing field.
+
+    The argument list goes into the plan, so one aggregation by key answers all of it.
+    """
+    asked = sorted((r.pos, r.field) for r in fields.collect())
+    wanted = F.col("field").isin([f for _, f in asked])
+    got = hash_.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.when(wanted, F.struct("field", "value")))).alias("m"))
+    places = F.array(*(F.struct(F.lit(p).alias("pos"), F.lit(f).alias("field")) for p, f in asked))
+    got = got.select(*KEY, "m", F.explode(places).alias("a"))
+    return got.select(*KEY, "a.pos", "a.field", F.try_element_at("m", F.col("a.field")).alias("value"))
+
+
+def hexists(hash_: DataFrame, asked: DataFrame) -> DataFrame:
+    """HEXISTS of (db, key, field) rows: 0 or 1."""
+    there = hash_.select(*FIELD).withColumn("there", F.lit(1))
+    return asked.join(there, FIELD, "left").select(*FIELD, F.coalesce("there", F.lit(0)).alias("reply"))
+
+
+def hstrlen(hash_: DataFrame, asked: DataFrame) -> DataFrame:
+    """HSTRLEN of (db, key, field) rows: bytes of the value, 0 for a missing field."""
+    got = asked.join(hash_.select(*FIELD, "value"), FIELD, "left")
+    return got.select(*FIELD, F.coalesce(F.octet_length("value"), F.lit(0)).alias("n"))
 
 
 def hgetall(hash_: DataFrame) -> DataFrame:
@@ -52,9 +71,43 @@ def hdel(hash_: DataFrame, fields: DataFrame) -> DataFrame:
     return hash_.join(fields.select(*FIELD), FIELD, "left_anti")
 
 
+def hgetdel(hash_: DataFrame, fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """HGETDEL of (db, key, field) rows: the values read, null where there is none, and the fields that are left."""
+    read = fields.select(*FIELD).join(hash_.select(*FIELD, "value"), FIELD, "left")
+    return read, hdel(hash_, fields)
+
+
+def hgetex(hash_: DataFrame, fields: DataFrame, now_ms, deadline=None, persist: bool = False) -> tuple[DataFrame, DataFrame]:
+    """HGETEX of (db, key, field) rows: the values read, and the fields with their deadlines afterwards.
+
+    A deadline that is past deletes the fields after the read.
+    """
+    read = fields.select(*FIELD).join(hash_.select(*FIELD, "value"), FIELD, "left")
+    hit = hash_.join(fields.select(*FIELD).distinct().withColumn("asked", F.lit(True)), FIELD, "left")
+    mine = F.coalesce("asked", F.lit(False))
+    if persist:
+        hit = hit.withColumn("field_expire_at", F.when(~mine, F.col("field_expire_at")))
+    elif deadline is not None:
+        at = F.lit(deadline).cast("bigint")
+        hit = hit.where(~(mine & (at <= F.lit(now_ms)))).withColumn("field_expire_at", F.when(mine, at).otherwise(F.col("field_expire_at")))
+    return read, hit.drop("asked")
+
+
 def hincrby(log: DataFrame, by: str = "by") -> DataFrame:
-    """HINCRBY and HINCRBYFLOAT: the sum of each field."""
-    return log.groupBy(*FIELD).agg(F.sum(by).alias("value"))
+    """HINCRBY: the sum of each field, with an error where it leaves 64 bits."""
+    got = log.groupBy(*FIELD).agg(F.sum(F.col(by).cast("decimal(38,0)")).alias("t"))
+    fits = F.col("t").between(I64_MIN, I64_MAX)
+    return got.select(
+        *FIELD, F.when(fits, F.col("t")).cast("bigint").alias("value"),
+        F.when(~fits, "ERR increment or decrement would overflow").alias("err"),
+    )
+
+
+def hincrbyfloat(log: DataFrame, by: str = "by") -> DataFrame:
+    """HINCRBYFLOAT: the sum of each field, with an error where it isn't finite."""
+    got = log.groupBy(*FIELD).agg(F.sum(F.col(by).cast("double")).alias("t"))
+    bad = F.isnan("t") | F.abs("t").isin(float("inf"))
+    return got.select(*FIELD, F.when(~bad, F.col("t")).alias("value"), F.when(bad, "ERR increment would produce NaN or Infinity").alias("err"))
 
 
 def hsetex(writes: DataFrame, existing: DataFrame, deadline, when: str | None = None) -> DataFrame:

@@ -46,6 +46,13 @@ def merge(registers: DataFrame, target: str | None = None) -> DataFrame:
     return registers.groupBy(*KEY, "idx").agg(F.max("rho").alias("rho"))
 
 
+def dense_registers(registers: DataFrame) -> DataFrame:
+    """PFDEBUG GETREG: all registers of each key, zeros included, in order."""
+    got = registers.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("idx", "rho"))).alias("m"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(REGISTERS - 1)))
+    return got.select(*KEY, "m", every.alias("idx")).select(*KEY, "idx", F.coalesce(F.try_element_at("m", F.col("idx")), F.lit(0)).alias("rho"))
+
+
 def pfcount(registers: DataFrame) -> DataFrame:
     """PFCOUNT: the improved raw estimate (Ertl 2017) from the histogram of ranks."""
     ship(registers.sparkSession)

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import col, resolve_range
+from keyloom.plans.ranges import rank_in_keys
 from keyloom.sources.model import KEY
 
 
-def indexed(lst: DataFrame) -> DataFrame:
-    """Add ``i``, the index from the head, and ``n``, the length."""
+def indexed(lst: DataFrame, hot: bool = False) -> DataFrame:
+    """Add ``i``, the index from the head, and ``n``, the length.
+
+    A window numbers each list in one task; with ``hot``, lists of any size are numbered over a range
+    partitioning instead.
+    """
+    if hot:
+        numbered = rank_in_keys(lst, KEY, ["pos"]).withColumn("i", F.col("rank").cast("int")).drop("rank")
+        return numbered.join(llen(lst), KEY)
     of_key = Window.partitionBy(*KEY)
     numbered = lst.withColumn("i", F.row_number().over(of_key.orderBy("pos")) - 1)
     return numbered.withColumn("n", F.count(F.lit(1)).over(of_key))
@@ -33,10 +41,10 @@ def push(pushes: DataFrame, left: bool, existing: DataFrame | None = None, only_
     return existing.unionByName(new)
 
 
-def pop(lst: DataFrame, count: int, left: bool) -> tuple[DataFrame, DataFrame]:
+def pop(lst: DataFrame, count: int, left: bool, hot: bool = False) -> tuple[DataFrame, DataFrame]:
     """LPOP and RPOP: what is popped, and what is left."""
     at = F.col("i") if left else F.col("n") - 1 - F.col("i")
-    marked = indexed(lst).withColumn("taken", at)
+    marked = indexed(lst, hot).withColumn("taken", at)
     return marked.where(F.col("taken") < count).drop("i", "n"), marked.where(F.col("taken") >= count).drop("i", "n", "taken")
 
 
@@ -45,21 +53,21 @@ def llen(lst: DataFrame) -> DataFrame:
     return lst.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
-def lrange(lst: DataFrame, start: int, stop: int) -> DataFrame:
+def lrange(lst: DataFrame, start: int, stop: int, hot: bool = False) -> DataFrame:
     """LRANGE, and what LTRIM keeps."""
     lo, hi = resolve_range(start, stop, "n")
-    return indexed(lst).where((F.col("i") >= lo) & (F.col("i") <= hi)).drop("n")
+    return indexed(lst, hot).where((F.col("i") >= lo) & (F.col("i") <= hi)).drop("n")
 
 
-def lindex(lst: DataFrame, i: int) -> DataFrame:
+def lindex(lst: DataFrame, i: int, hot: bool = False) -> DataFrame:
     """LINDEX; no row where the index is outside."""
-    return indexed(lst).where(F.col("i") == (F.lit(i) if i >= 0 else F.col("n") + i)).select(*KEY, "value")
+    return indexed(lst, hot).where(F.col("i") == (F.lit(i) if i >= 0 else F.col("n") + i)).select(*KEY, "value")
 
 
-def lset(lst: DataFrame, i: int, value) -> DataFrame:
+def lset(lst: DataFrame, i: int, value, hot: bool = False) -> DataFrame:
     """LSET where the index is inside."""
     at = F.col("i") == (F.lit(i) if i >= 0 else F.col("n") + i)
-    return indexed(lst).withColumn("value", F.when(at, F.lit(value)).otherwise(F.col("value"))).drop("i", "n")
+    return indexed(lst, hot).withColumn("value", F.when(at, F.lit(value)).otherwise(F.col("value"))).drop("i", "n")
 
 
 def linsert(lst: DataFrame, pivot, value, after: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import I64_MAX, I64_MIN, canonical_int, col, parse_score, string_range
+from keyloom.plans.ranges import total_order
 from keyloom.sources.model import KEY
 
 
@@ -52,9 +53,17 @@ def first_write(writes: DataFrame, value: str = "value", order=("seq",), existin
     return writes.groupBy(*KEY).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
-def previous(writes: DataFrame, value: str = "value", order: str = "seq") -> DataFrame:
-    """GETSET: each write with the value it replaced."""
-    return writes.withColumn("old_value", F.lag(value).over(Window.partitionBy(*KEY).orderBy(order)))
+def previous(writes: DataFrame, value: str = "value", order: str = "seq", hot: bool = False) -> DataFrame:
+    """GETSET: each write with the value it replaced.
+
+    With ``hot``, a key may hold most writes: they are numbered over a range partitioning and joined with the
+    one before.
+    """
+    if not hot:
+        return writes.withColumn("old_value", F.lag(value).over(Window.partitionBy(*KEY).orderBy(order)))
+    placed = total_order(writes, [*KEY, order]).drop("upto")
+    before = placed.select(*KEY, (F.col("ix") + 1).alias("ix"), F.col(value).alias("old_value"))
+    return placed.join(before, [*KEY, "ix"], "left").drop("ix")
 
 
 def all_or_nothing(commands: DataFrame, existing: DataFrame, when: str = "nx") -> DataFrame:
@@ -85,8 +94,16 @@ def incr_total(log: DataFrame, by="by") -> DataFrame:
     )
 
 
-def incr_running(log: DataFrame, by="by", order: str = "seq") -> DataFrame:
-    """INCRBY: the reply to each command of the log."""
+def incr_running(log: DataFrame, by="by", order: str = "seq", hot: bool = False) -> DataFrame:
+    """INCRBY: the reply to each command of the log.
+
+    With ``hot``, a key may hold most commands: sums run over a range partitioning, less what is before the key.
+    """
+    if hot:
+        placed = total_order(log.withColumn("__by", col(by)), [*KEY, order], "__by")
+        start = placed.groupBy(*KEY).agg(F.min_by(F.col("upto") - F.col("__by"), "ix").alias("__start"))
+        got = placed.join(start, KEY).withColumn("value", F.col("upto") - F.col("__start"))
+        return got.drop("__by", "__start", "upto", "ix")
     w = Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return log.withColumn("value", F.sum(col(by)).over(w))
 
@@ -118,3 +135,54 @@ def delete_if_equal(strings: DataFrame, asked: DataFrame) -> DataFrame:
 def getdel(strings: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """GETDEL: the values read, and the strings that are left."""
     return mget(strings, asked), strings.join(asked.select(*KEY), KEY, "left_anti")
+
+
+def getex(strings: DataFrame, asked: DataFrame, now_ms, deadline=None, persist: bool = False) -> tuple[DataFrame, DataFrame]:
+    """GETEX: the values read, and the strings with their deadlines afterwards.
+
+    ``deadline`` is absolute; one that is past deletes the key after the read.  Without ``deadline`` and
+    ``persist`` nothing changes.
+    """
+    read = mget(strings.select(*KEY, "value"), asked)
+    hit = strings.join(asked.select(*KEY).distinct().withColumn("asked", F.lit(True)), KEY, "left")
+    mine = F.coalesce("asked", F.lit(False))
+    if persist:
+        hit = hit.withColumn("expire_at", F.when(~mine, F.col("expire_at")))
+    elif deadline is not None:
+        at = F.lit(deadline).cast("bigint")
+        hit = hit.where(~(mine & (at <= col(now_ms)))).withColumn("expire_at", F.when(mine, at).otherwise(F.col("expire_at")))
+    return read, hit.drop("asked")
+
+
+def conditional_set(existing: DataFrame, writes: DataFrame, when: str = "always", keepttl: bool = False) -> DataFrame:
+    """SET with NX, XX, IFEQ, IFNE, GET and KEEPTTL, one command for each key.
+
+    ``existing`` and ``writes`` are (db, key, value, expire_at); ``writes`` has ``expected`` for IFEQ and IFNE.
+    Returns for each command ``applied``, ``old_value`` (what GET replies) and the ``value`` and ``expire_at``
+    after it.  IFEQ needs a value that is equal, IFNE one that differs or none.
+    """
+    now = existing.select(*KEY, F.col("value").alias("old_value"), F.col("expire_at").alias("old_expire_at"), F.lit(True).alias("there"))
+    both = writes.join(now, KEY, "left")
+    there = F.coalesce("there", F.lit(False))
+    same = F.col("old_value").eqNullSafe(F.col("expected")) if "expected" in writes.columns else F.lit(False)
+    ok = {"always": F.lit(True), "nx": ~there, "xx": there, "ifeq": there & same, "ifne": ~there | ~same}[when]
+    deadline = F.col("old_expire_at") if keepttl else F.col("expire_at")
+    return both.select(
+        *KEY, ok.alias("applied"), "old_value", F.when(ok, F.col("value")).otherwise(F.col("old_value")).alias("value"),
+        F.when(ok, deadline).otherwise(F.col("old_expire_at")).alias("expire_at"),
+    )
+
+
+def msetex(existing: DataFrame, commands: DataFrame, when: str | None = None, keepttl: bool = False) -> DataFrame:
+    """MSETEX: the strings after commands of several keys (seq, db, key, value, expire_at), all of them or none.
+
+    A command's gate (``nx``: none of its keys exist, ``xx``: all do) is judged on ``existing``; of commands
+    that set the same key the last counts.
+    """
+    if when:
+        commands = all_or_nothing(commands, existing, when).where("applied").drop("applied")
+    new = last_write(commands)
+    if keepttl:
+        kept = existing.select(*KEY, F.col("expire_at").alias("old"))
+        new = new.join(kept, KEY, "left").withColumn("expire_at", F.col("old")).drop("old")
+    return existing.join(new.select(*KEY), KEY, "left_anti").select(*KEY, "value", "expire_at").unionByName(new.select(*KEY, "value", "expire_at"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import SLOTS
@@ -12,11 +12,16 @@ from keyloom.sources.model import KEY
 
 
 def save(tables: dict[str, DataFrame], path: str, saved_at: int) -> DataFrame:
-    """SAVE and BGSAVE: every table as Parquet, then the manifest, whose presence makes it count."""
+    """SAVE and BGSAVE: every table as Parquet, then the manifest, whose presence makes it count.
+
+    Rows are counted as they are written.
+    """
+    rows = []
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.append((name, seen.get["n"], saved_at))
     spark = next(iter(tables.values())).sparkSession
-    rows = [(n, spark.read.parquet(f"{path}/{n}").count(), saved_at) for n in tables]
     manifest = spark.createDataFrame(rows, "table string, n_rows bigint, saved_at bigint")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
     return manifest
@@ -82,6 +87,34 @@ def lag(heads: DataFrame, acks: DataFrame) -> DataFrame:
     return got.withColumn("lag", F.greatest(F.col("head") - F.col("acked"), F.lit(0)))
 
 
+def wait_acks(acks: DataFrame, asked: DataFrame) -> DataFrame:
+    """WAIT: of each shard the replicas that acknowledged the offset ``off`` that is asked for, by ``want`` or more.
+
+    ``acks`` is (shard, node, acked), ``asked`` (shard, off, want), a row for each shard.
+    """
+    got = asked.join(acks, "shard", "left").groupBy("shard", "off", "want").agg(F.count_if(F.col("acked") >= F.col("off")).alias("replicas"))
+    return got.withColumn("enough", F.col("replicas") >= F.col("want"))
+
+
+def spill(log: DataFrame, path: str, segment_ops: int = 10_000) -> None:
+    """Disk backlog: appends (shard, off, ...) rows, partitioned by shard and segment of offsets."""
+    placed = log.withColumn("segment", F.floor(F.col("off") / segment_ops).cast("bigint"))
+    placed.write.mode("append").partitionBy("shard", "segment").parquet(path)
+
+
+def ops_after(spark: SparkSession, path: str, shard, off: int, segment_ops: int = 10_000) -> DataFrame:
+    """What a replica at offset ``off`` lacks; only segments from that offset on are read."""
+    rows = spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("segment") >= off // segment_ops))
+    return rows.where(F.col("off") > off).drop("segment")
+
+
+def prune(backlog: DataFrame, keep: int, segment_ops: int = 10_000) -> DataFrame:
+    """Segments that may go: those wholly below the last ``keep`` operations of their shard."""
+    head = backlog.groupBy("shard").agg(F.max("off").alias("head"))
+    old = backlog.select("shard", F.floor(F.col("off") / segment_ops).cast("bigint").alias("segment")).distinct().join(head, "shard")
+    return old.where((F.col("segment") + 1) * segment_ops <= F.col("head") - keep).select("shard", "segment")
+
+
 def promotable(lags: DataFrame, bound: int) -> DataFrame:
     """Failover: of each shard the linked replica of least lag within a bound."""
     good = lags.where(F.col("link_up") & (F.col("lag") <= bound))

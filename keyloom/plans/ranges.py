@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,14 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a temporary folder does if Spark runs in one process; on a cluster it is an error.
+    """
     kept = spark.conf.get("spark.checkpoint.dir", None)
     if not kept:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         kept = tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", kept)
     return f"{kept.rstrip('/')}/keyloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

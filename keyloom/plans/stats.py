@@ -60,6 +60,32 @@ def count_min(ops: DataFrame, eps: float = 0.001, confidence: float = 0.99, seed
     return ops.agg(F.count_min_sketch("key", F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
 
 
+def aged_counts(ops: DataFrame, period: int, top: int = 15) -> DataFrame:
+    """Frequency of each key under ageing: counts are halved after every ``period`` operations and end at ``top``.
+
+    One aggregation counts by key and period; the halvings are folded in the row.
+    """
+    n = F.floor(F.col("seq") / period).cast("int")
+    counted = ops.groupBy("key", n.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    last = ops.agg(F.max(n).alias("last"))  # one row
+    by_key = counted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("p", "n"))).alias("m"))
+    step = lambda m: lambda a, p: F.least(F.lit(top).cast("bigint"), F.floor(a / 2) + F.coalesce(F.try_element_at(m, p), F.lit(0)))
+    folded = F.aggregate(F.sequence(F.lit(0), F.col("last")), F.lit(0).cast("bigint"), step(F.col("m")))
+    return by_key.join(F.broadcast(last)).select("key", folded.alias("freq"))
+
+
+def tinylfu_admit(pairs: DataFrame, freq: DataFrame) -> DataFrame:
+    """W-TinyLFU admission: a candidate that leaves the window replaces the main area's victim if it is used more.
+
+    ``pairs`` is (candidate, victim), ``freq`` (key, freq); a key without a count counts as 0, a tie keeps
+    the victim.
+    """
+    f = lambda name: freq.select(F.col("key").alias(name), F.col("freq").alias(f"{name}_freq"))
+    got = pairs.join(f("candidate"), "candidate", "left").join(f("victim"), "victim", "left")
+    got = got.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("candidate_freq", "victim_freq")})
+    return got.withColumn("admitted", F.col("candidate_freq") > F.col("victim_freq"))
+
+
 def ops_rate(ops: DataFrame, every: str) -> DataFrame:
     """Commands a second in tumbling windows."""
     got = ops.groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"))
@@ -152,3 +178,19 @@ def publish(messages: DataFrame, subs: DataFrame, patterns: list[tuple[int, str]
 def numsub(subs: DataFrame) -> DataFrame:
     """PUBSUB NUMSUB: subscribers of each channel; CHANNELS are its keys."""
     return subs.groupBy("channel").agg(F.countDistinct("conn").alias("n"))
+
+
+def numpat(patterns: DataFrame) -> DataFrame:
+    """PUBSUB NUMPAT: how many distinct patterns are subscribed to."""
+    return patterns.agg(F.countDistinct("pattern").alias("n"))
+
+
+def shard_publish(messages: DataFrame, subs: DataFrame, shards: int) -> DataFrame:
+    """SPUBLISH: receivers of messages on sharded channels, and the shard that owns each channel's slot.
+
+    Sharded channels have a name space of their own: ``subs`` are SSUBSCRIBE rows (conn, channel).
+    """
+    from keyloom.functions.exprs import key_slot, slot_to_shard
+
+    got = messages.join(subs, "channel")
+    return got.withColumn("shard", slot_to_shard(key_slot("channel"), shards)).select("seq", "channel", "conn", "shard")

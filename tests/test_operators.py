@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from keyloom.operators import bitmaps, generic, hashes, hll, lists, sets, sort, strings, ttl, zsets
-from keyloom.plans import fold, persist, stats
+from keyloom.plans import fold, persist, ranges, routing, stats
 from keyloom.sources import model
 
 
@@ -192,3 +192,58 @@ def test_total_order(spark):
 
     got = total_order(spark.range(1000).withColumn("v", F.lit(2)), ["id"], "v").orderBy("id").collect()
     assert [(r.ix, r.upto) for r in got] == [(i, 2 * i + 2) for i in range(1000)]
+
+
+def test_rename_to_itself_and_move(spark):
+    df = spark.createDataFrame([(0, "a", "1"), (1, "b", "2")], "db int, key string, value string")
+    assert sorted(generic.rename(df, "a", "a").collect()) == sorted(df.collect())
+    assert generic.rename(df, "a", "a", nx=True).count() == 2
+
+
+def test_ordered_fold_survives_odd_numbers(spark):
+    ops = [(0, "k", 1, "SET", "--5"), (0, "k", 2, "INCRBY", "1"), (0, "k", 3, "SET", "٣"), (0, "k", 4, "INCRBY", "1"), (0, "k", 5, "SET", "9223372036854775807"), (0, "k", 6, "INCRBY", "1"), (0, "k", 7, "DECRBY", "7")]
+    got = {r.seq: r for r in fold.ordered_strings(spark.createDataFrame(ops, "db int, key string, seq bigint, cmd string, arg string")).collect()}
+    assert got[2].err and got[4].err and "overflow" in got[6].err and got[7].value == "9223372036854775800"
+
+
+def test_blocking_deadlines(spark):
+    rows = [(0, "k", 1, "wait", 7, 5, None, None), (0, "k", 2, "wait", 8, None, None, None), (0, "k", 99, "push", None, None, 1.0, "a"), (0, "k", 100, "push", None, None, 2.0, "b"), (0, "k", 101, "wait", 7, 0, None, None)]
+    events = spark.createDataFrame(rows, "db int, key string, seq bigint, kind string, conn bigint, deadline bigint, place double, value string")
+    assert sorted((r.conn, r.seq, r.value) for r in fold.blocking(events).collect()) == [(7, 101, "b"), (8, 2, "a")]
+    moved = fold.blocking_move(events, "t", True, False).orderBy("pos").collect()
+    assert [(r.key, r.value) for r in moved] == [("t", "a"), ("t", "b")]
+
+
+def test_hot_keys_need_no_task_of_their_own(spark):
+    rows = [(0, "hot" if i % 10 else f"k{i}", i, f"v{i}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "db int, key string, seq bigint, value string, by bigint").repartition(4)
+    lst = df.select("db", "key", F.col("seq").alias("pos"), "value")
+    key = lambda r: tuple(r)
+    for a, b in (
+        (lists.lrange(lst, -5, -2), lists.lrange(lst, -5, -2, hot=True)),
+        (lists.lindex(lst, 3), lists.lindex(lst, 3, hot=True)),
+        (strings.previous(df), strings.previous(df, hot=True)),
+        (strings.incr_running(df), strings.incr_running(df, hot=True)),
+    ):
+        assert sorted(map(key, a.collect()), key=repr) == sorted(map(key, b.select(*a.columns).collect()), key=repr)
+    placed = ranges.rank_in_keys(lst, ["db", "key"], ["pos"]).withColumn("part", F.spark_partition_id())
+    plan = strings.incr_running(df, hot=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan or "__part" in plan  # windows run inside the parts of a range partitioning
+    sizes = [r["count"] for r in ranges.total_order(lst, ["db", "key", "pos"]).select(F.floor(F.col("ix") / 1000).alias("g")).groupBy("g").count().collect()]
+    assert sum(sizes) == 3000 and placed.where("key = 'hot'").agg(F.max("rank")).first()[0] == 2699
+
+
+def test_backlog_and_snapshot(spark, tmp_path):
+    log = spark.createDataFrame([("a", i, f"k{i}") for i in range(50)], "shard string, off bigint, key string")
+    persist.spill(log.where("off < 30"), str(tmp_path / "log"), 10)
+    persist.spill(log.where("off >= 30"), str(tmp_path / "log"), 10)
+    assert sorted(r.off for r in persist.ops_after(spark, str(tmp_path / "log"), "a", 37, 10).collect()) == list(range(38, 50))
+    assert {r.segment for r in persist.prune(log, 15, 10).collect()} == {0, 1, 2}
+    manifest = persist.save({"log": log}, str(tmp_path / "snap"), 5)
+    assert manifest.first().n_rows == 50 and persist.load(spark, str(tmp_path / "snap"))["log"].count() == 50
+
+
+def test_malformed_commands_have_no_keys(spark):
+    cases = [("MSET", ["a"], []), ("MSET", ["a", "1", "b", "2"], ["a", "b"]), ("ZUNION", ["3", "a", "b"], []), ("ZUNION", ["x", "a"], []), ("ZINTERSTORE", ["d", "1", "s"], ["d", "s"]), ("GET", [], []), ("get", ["a", "b"], ["a"]), ("OBJECT", ["ENCODING", "k"], ["k"]), ("SORT", ["STORE"], ["STORE"]), ("SORT", ["l", "STORE"], ["l"]), ("BITOP", ["NOT", "d"], []), ("COPY", ["a", "b", "REPLACE"], ["a", "b"]), ("PING", ["x"], [])]
+    df = spark.createDataFrame([(c, a) for c, a, _ in cases], "cmd string, args array<string>")
+    assert [r[0] for r in df.select(routing.command_keys("cmd", "args")).collect()] == [w for _, _, w in cases]
