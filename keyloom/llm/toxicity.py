@@ -3,16 +3,16 @@
 The kernel of two words counts the three-letter subsequences they share, each weighted by decay to the
 power of its spread, so inserted characters only dampen a match.  A linear support vector machine works
 in the space that landmark words span.  Its decision is linear in the subsequences of a word, so it
-folds, exactly, into one table over subsequences.  A document is as toxic as its three worst words, whose
-margins are weighed by a logistic fit: one ordinary word that looks like an insult shouldn't count as
-much as several insults.
+folds, exactly, into one table over subsequences.  A document is as toxic as its three worst words and the
+share of its words that the machine takes for insults, weighed by a logistic fit: one ordinary word that
+looks like an insult, or a few in a long text, shouldn't count as much as several in a short one.
 """
 
 from __future__ import annotations
 
-import heapq
 import unicodedata
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import held_out, labelled_sample, map_arrow, record, spool, text_rows
 from .svm import fit_joint, fit_svm
 
-#: Labelled documents that a fit takes at most, and words among them.
+#: Bounds of a fit unless it is given others: labelled texts, words taken for insults, ordinary words, landmarks.
 SAMPLE_ROWS = 8000
 POSITIVE_WORDS, NEGATIVE_WORDS = 1500, 12000
 LANDMARKS = 160
@@ -46,6 +46,8 @@ _FOLDED: dict[str, int] = {}
 EMPTY = -1.0
 #: Words of a text whose margins count, the worst first.
 WORST = 3
+#: The share of insults is counted in hits for so many words, up to a limit; shorter texts count as ``FEW`` words.
+PER_WORDS, MOST_HITS, FEW = 50, 3.0, 20
 
 
 def _fold(c: str) -> int:
@@ -121,7 +123,7 @@ class ToxicityModel:
 
     table: np.ndarray
     bias: float
-    slopes: np.ndarray = field(default_factory=lambda: np.eye(1, WORST)[0])
+    slopes: np.ndarray = field(default_factory=lambda: np.eye(1, WORST + 1)[0])
     offset: float = 0.0
     known: dict = field(default_factory=dict, repr=False)
     older: dict = field(default_factory=dict, repr=False)
@@ -134,11 +136,12 @@ class ToxicityModel:
         return np.bincount(r, w * self.table[c], len(words)) + self.bias
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        """Decision for each text: the weighted sum of the largest margins among its words."""
+        """Decision for each text: the weighted sum of its largest margins and its share of insults."""
         return self.tops(texts) @ self.slopes
 
     def tops(self, texts: list[str]) -> np.ndarray:
-        """The ``WORST`` largest margins among the distinct words of each text, ``EMPTY`` for those it lacks."""
+        """The ``WORST`` largest margins among the distinct words of each text, ``EMPTY`` for those it lacks, and
+        how many of ``PER_WORDS`` distinct words have a margin above zero, each counting up to one."""
         units = [words_of(t) for t in texts]
         known = self.known
         new = [w for w in set().union(*units).difference(known)]
@@ -159,10 +162,12 @@ class ToxicityModel:
         for at in range(0, len(cut), 4096):
             np.maximum.at(best, owner[at : at + 4096], self.margins(cut[at : at + 4096]))
         known.update(zip(fresh, best.tolist(), strict=True))
-        out = np.full((len(units), WORST), EMPTY)
+        out = np.full((len(units), WORST + 1), EMPTY)
         for i, u in enumerate(units):
-            most = heapq.nlargest(WORST, map(known.__getitem__, u))
-            out[i, : len(most)] = most
+            margins = sorted(map(known.__getitem__, u), reverse=True)
+            out[i, : min(WORST, len(margins))] = margins[:WORST]
+            hits = sum(min(m, 1.0) for m in takewhile(lambda m: m > 0, margins))
+            out[i, WORST] = min(PER_WORDS * hits / max(len(margins), FEW), MOST_HITS)
         if len(known) > REMEMBERED:
             self.older, self.known = known, {}
         return out
@@ -178,11 +183,11 @@ def _with_noise(word: bytes) -> list[bytes]:
     return [word[:k] + x + word[k:], word[: k - 1] + x + word[k - 1 :], word[:k] + word[k - 1 :]]
 
 
-def _fit_words(bad: list[tuple[bytes, int]], good: dict[bytes, int]) -> tuple[np.ndarray, float]:
+def _fit_words(bad: list[tuple[bytes, int]], good: dict[bytes, int], landmarks: int) -> tuple[np.ndarray, float]:
     """Table and bias of the machine for words with their numbers of toxic and clean documents."""
     clean = sorted(good)
-    marks = [w for w, _ in bad[: LANDMARKS * 3 // 4]]
-    marks += clean[:: max(1, len(clean) * 4 // LANDMARKS)][: LANDMARKS - len(marks)]
+    marks = [w for w, _ in bad[: landmarks * 3 // 4]]
+    marks += clean[:: max(1, len(clean) * 4 // landmarks)][: landmarks - len(marks)]
     base = dense(marks)
     values, vectors = np.linalg.eigh((base @ base.T).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-3))  # the Nyström map is k(word, landmarks) @ root
@@ -211,12 +216,20 @@ def _worst_words(words: DataFrame, model: ToxicityModel, limit: int) -> dict[byt
     return {bytes(r.word): r.good for r in scored.orderBy(F.col("margin").desc(), "word").limit(limit).collect()}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents that aren't held out.
-
-    Labels belong to documents, so words get theirs by a multiple-instance rule: a word that toxic
-    documents hold far more often than others is an insult, words of clean documents aren't.  Counts per
-    word are aggregated by Spark; bounded numbers of words reach the driver.
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    rows: int = SAMPLE_ROWS,
+    positive_words: int = POSITIVE_WORDS,
+    negative_words: int = NEGATIVE_WORDS,
+    landmarks: int = LANDMARKS,
+) -> ToxicityModel:
+    """Fit on at most ``rows`` labelled texts (sentences or documents) that aren't held out.
+
+    Labels belong to texts, so words get theirs by a multiple-instance rule: a word that toxic
+    texts hold far more often than others is an insult, words of clean texts aren't.  Counts per
+    word are aggregated by Spark; at most ``positive_words`` insults and one and a quarter times ``negative_words``
+    ordinary words reach the driver, and ``landmarks`` of them span the space of the machine.
     """
     nothing = ToxicityModel(np.zeros(SYMBOLS**3), EMPTY, offset=-5.0)
     sample = labelled_sample(docs, labels, "toxic", rows, ~held_out())
@@ -238,25 +251,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
 
     counted = map_arrow(sample, ["text", "__y"], out, words).groupBy("word").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
     # a bounded table: few partitions, as each sends its own best words to the driver
-    counted = counted.withColumn("good", F.col("n") - F.col("bad")).coalesce(PARTITIONS).persist()
-    try:
-        # how much likelier the counts of a word are at its own rate than at the overall one
-        own, base = F.col("bad") / F.col("n"), n_bad / n_all
-        gain = F.col("bad") * F.log(own / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - own) / (1 - base))).otherwise(0.0)
-        bad = counted.where(own > max(2 * base, 0.5)).where(gain >= EVIDENCE).orderBy(gain.desc(), "word").limit(POSITIVE_WORDS).collect()
-        clean = counted.where("good >= 1 and bad <= good")
-        some = clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE_WORDS // 2).collect()
-        usual = clean.orderBy(F.col("good").desc(), "word").limit(NEGATIVE_WORDS // 4).collect()
-        bad = [(bytes(r.word), r.bad) for r in bad]
-        good = {bytes(r.word): r.good for r in [*some, *usual]}
-        if not bad or not good:
-            return nothing
-        table, bias = _fit_words(bad, good)
-        for _ in range(HARD_ROUNDS):  # the clean words that look worst so far are learnt from as well
-            good |= _worst_words(clean.select("word", "good"), ToxicityModel(table, bias), NEGATIVE_WORDS // 4)
-            table, bias = _fit_words(bad, good)
-    finally:
-        counted.unpersist()
+    counted = spool(counted.withColumn("good", F.col("n") - F.col("bad")).coalesce(PARTITIONS))
+    # how much likelier the counts of a word are at its own rate than at the overall one
+    own, base = F.col("bad") / F.col("n"), n_bad / n_all
+    gain = F.col("bad") * F.log(own / base) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - own) / (1 - base))).otherwise(0.0)
+    bad = counted.where(own > max(2 * base, 0.5)).where(gain >= EVIDENCE).orderBy(gain.desc(), "word").limit(positive_words).collect()
+    clean = counted.where("good >= 1 and bad <= good")
+    some = clean.orderBy(F.xxhash64("word"), "word").limit(negative_words // 2).collect()
+    usual = clean.orderBy(F.col("good").desc(), "word").limit(negative_words // 4).collect()
+    bad = [(bytes(r.word), r.bad) for r in bad]
+    good = {bytes(r.word): r.good for r in [*some, *usual]}
+    if not bad or not good:
+        return nothing
+    table, bias = _fit_words(bad, good, landmarks)
+    for _ in range(HARD_ROUNDS):  # the clean words that look worst so far are learnt from as well
+        good |= _worst_words(clean.select("word", "good"), ToxicityModel(table, bias), negative_words // 4)
+        table, bias = _fit_words(bad, good, landmarks)
     model = ToxicityModel(table, bias)
     got = _margins(sample.select("doc_id", "text", "__y"), model, ["__y"]).toPandas()
     model.slopes, model.offset = fit_joint(np.stack(got["margins"]), got["__y"].to_numpy())
