@@ -301,9 +301,12 @@ def _(t):
     return generic.restore(dumped, "field string, value string").select("key", "field", "value")
 
 
-@query("q_random_key", None)
+@query("q_random_key", "SELECT CAST(1 AS BIGINT) AS n, TRUE AS is_key")
 def _(t):
-    return generic.random_rows(t.keys(), "key", 1, seed=1).select("key")
+    # which key it is depends on the hash; that it is one of the table's doesn't
+    one = generic.random_rows(t.keys(), "key", 1, seed=1).select(*KEY, F.lit(True).alias("picked"))
+    hit = t.keys().join(one, KEY, "inner")
+    return hit.agg(F.count(F.lit(1)).alias("n"), F.bool_and("picked").alias("is_key"))
 
 
 # deadlines
@@ -674,14 +677,22 @@ def _(t):
     return bitmaps.bitfield_get(t.bits(), 5, 4, signed=False).select("key", "value")
 
 
-@query("q_pfcount_registers")
+def _near(counted, exact):
+    """Keys with their exact count, and whether the estimate is within three per cent of it."""
+    both = counted.join(exact, KEY)
+    return both.select("key", "exact", (F.abs(F.col("n") - F.col("exact")) <= F.greatest(F.lit(2), F.col("exact") * 0.03)).alias("near"))
+
+
+@query("q_pfcount_registers", "SELECT event_type AS key, count(DISTINCT user_id) AS exact, TRUE AS near FROM events GROUP BY 1")
 def _(t):
-    return hll.pfcount(hll.pfadd(shaped(t.raw("events"), key="event_type", element=t.user))).select("key", "n")
+    rows = shaped(t.raw("events"), key="event_type", element=t.user)
+    return _near(hll.pfcount(hll.pfadd(rows)), rows.groupBy(*KEY).agg(F.countDistinct("element").alias("exact")))
 
 
-@query("q_pfcount_library")
+@query("q_pfcount_library", "SELECT l_returnflag AS key, count(DISTINCT l_partkey) AS exact, TRUE AS near FROM lineitem GROUP BY 1")
 def _(t):
-    return hll.library_count(hll.library_sketch(shaped(t.raw("lineitem"), key="l_returnflag", element="l_partkey"))).select("key", "n")
+    rows = shaped(t.raw("lineitem"), key="l_returnflag", element="l_partkey")
+    return _near(hll.library_count(hll.library_sketch(rows)), rows.groupBy(*KEY).agg(F.countDistinct("element").alias("exact")))
 
 
 # sort
@@ -727,9 +738,10 @@ def _(t):
     return stats.hotkeys(t.ops(), "usec", 15)
 
 
-@query("q_hotkeys_approx")
+@query("q_hotkeys_approx", "SELECT count(*) AS n FROM ops GROUP BY key ORDER BY n DESC LIMIT 10")
 def _(t):
-    return stats.hotkeys_approx(t.ops(), 10)
+    # with fewer keys than the sketch tracks its counts are exact; which of equal keys is named isn't
+    return stats.hotkeys_approx(t.ops(), 10).select("n")
 
 
 @query("q_ops_rate", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, count(*) / 21600.0::DOUBLE AS per_second FROM ops GROUP BY 1")
@@ -819,7 +831,19 @@ def _(t):
     return fold.watch_dirty(watches, e.where("cmd = 'purchase'")).select("txn", "key", "dirty")
 
 
-@query("q_ordered_fold")
+_FOLD = """SELECT key, seq, cmd, reply, CAST(NULL AS VARCHAR) AS err, value FROM (WITH RECURSIVE
+e AS (SELECT key, seq, CASE cmd WHEN 'view' THEN 'SETNX' WHEN 'click' THEN 'SET' WHEN 'purchase' THEN 'APPEND' WHEN 'signup' THEN 'GETSET' ELSE 'DEL' END AS cmd,
+  CAST(cents AS VARCHAR) AS arg, row_number() OVER (PARTITION BY key ORDER BY seq) AS k FROM log),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, '' AS cmd, CAST(NULL AS VARCHAR) AS reply, CAST(NULL AS VARCHAR) AS value FROM e
+UNION ALL
+SELECT r.key, e.k, e.seq, e.cmd,
+  CASE e.cmd WHEN 'SET' THEN 'OK' WHEN 'SETNX' THEN CASE WHEN r.value IS NULL THEN '1' ELSE '0' END WHEN 'APPEND' THEN CAST(strlen(coalesce(r.value, '') || e.arg) AS VARCHAR)
+    WHEN 'GETSET' THEN r.value ELSE CASE WHEN r.value IS NULL THEN '0' ELSE '1' END END,
+  CASE e.cmd WHEN 'SETNX' THEN coalesce(r.value, e.arg) WHEN 'APPEND' THEN coalesce(r.value, '') || e.arg WHEN 'DEL' THEN NULL ELSE e.arg END
+FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1) SELECT * FROM r WHERE k > 0)"""
+
+
+@query("q_ordered_fold", _FOLD)
 def _(t):
     cmd = F.element_at(F.create_map(*(F.lit(x) for p in (("view", "SETNX"), ("click", "SET"), ("purchase", "APPEND"), ("signup", "GETSET"), ("error", "DEL")) for x in p)), F.col("cmd"))
     ops = t.log().select(*KEY, "seq", cmd.alias("cmd"), F.col("cents").cast("string").alias("arg"))

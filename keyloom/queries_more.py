@@ -454,7 +454,7 @@ def _blocking_events(t, place):
     e = t.log().where("cmd in ('view', 'click')")
     return e.select(
         *KEY, "seq", F.when(F.col("cmd") == "view", "wait").otherwise("push").alias("kind"), (F.col("seq") % 13).alias("conn"),
-        F.when(F.col("seq") % 3 != 0, F.col("seq") + 600).alias("deadline"), place.cast("double").alias("place"), F.col("seq").cast("string").alias("value"),
+        F.when(F.col("seq") % 3 != 0, F.col("seq") + 600).alias("deadline"), F.col(place).cast("double").alias("place"), F.col("seq").cast("string").alias("value"),
     )
 
 
@@ -477,12 +477,12 @@ FROM (SELECT key, k, seq, deadline, is_push, live, items, len(items) > 0 AND (NO
 SELECT key, w, unnest(got) AS p FROM r WHERE w IS NOT NULL)"""
 
 
-for _name, _by, _sql_by, _last, _count in (
-    ("q_blpop", F.col("seq"), "seq", False, 1), ("q_brpop", F.col("seq"), "seq", True, 1), ("q_blmpop", F.col("seq"), "seq", False, 2),
-    ("q_bzpopmin", F.col("value"), "value", False, 1), ("q_bzpopmax", F.col("value"), "value", True, 1), ("q_bzmpop", F.col("value"), "value", True, 3),
+for _name, _by, _last, _count in (
+    ("q_blpop", "seq", False, 1), ("q_brpop", "seq", True, 1), ("q_blmpop", "seq", False, 2),
+    ("q_bzpopmin", "value", False, 1), ("q_bzpopmax", "value", True, 1), ("q_bzmpop", "value", True, 3),
 ):
 
-    @query(_name, _blocking_sql(_sql_by, _last, _count))
+    @query(_name, _blocking_sql(_by, _last, _count))
     def _(t, by=_by, last=_last, count=_count):
         return fold.blocking(_blocking_events(t, by), last, count).select("key", "seq", "push_seq")
 
@@ -492,7 +492,7 @@ for _name, _last, _to_left in (("q_blmove", False, False), ("q_brpoplpush", True
 
     @query(_name, f"SELECT key, push_seq::VARCHAR AS value, {'-' if _to_left else ''}row_number() OVER (ORDER BY {_order}){'' if _to_left else ' - 1'} AS pos FROM (SELECT 'moved' AS key, seq, push_seq FROM ({_blocking_sql('seq', _last, 1)}) WHERE key = '7')")
     def _(t, last=_last, to_left=_to_left):
-        events = _blocking_events(t, F.col("seq")).where("key = '7'")  # the one source list of the command
+        events = _blocking_events(t, "seq").where("key = '7'")  # the one source list of the command
         return fold.blocking_move(events, "moved", not last, to_left).select("key", "value", "pos")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from keyloom.functions.exprs import glob_match
 from keyloom.sources.shipping import ship
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,48 +67,111 @@ def expirations(writes: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
 
 class Waiters(StatefulProcessor):
-    """FIFO match of waiters and elements of a key: BLPOP and its kind.
+    """Match of waiters and elements of a key, first come, first served: BLPOP and its kind.
 
-    Of a ``wait`` row (conn, deadline ms) and a ``push`` row (value) the earliest of each kind meet; a waiter
-    whose deadline is before the push has gone away.
+    A ``push`` row puts ``value`` at ``place`` (the order in a list, or a score), a ``wait`` row (conn, deadline
+    ms or -1) takes up to ``count`` from the front, or with ``last`` from the back; a waiter whose deadline is
+    before the push has gone away and gets a null.  Only rows of a batch are sorted; what waits is kept in order.
     """
 
+    def __init__(self, last: bool = False, count: int = 1):
+        self.last, self.count = last, count
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.waiting = handle.getListState("waiting", "conn bigint, seq bigint, deadline bigint")
-        self.ready = handle.getListState("ready", "value string, seq bigint, at bigint")
+        self.ready = handle.getListState("ready", "place double, seq bigint, value string")
+
+    def _serve(self, key, conn, ready, out) -> None:
+        taken = ready[-self.count :][::-1] if self.last else ready[: self.count]
+        if self.last:
+            del ready[len(ready) - len(taken) :]
+        else:
+            del ready[: len(taken)]
+        out.extend((key[0], int(conn), value) for _, _, value in taken)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows)).sort_values("seq")
-        waiting, ready, out = list(self.waiting.get()), list(self.ready.get()), []
-        for r in got.itertuples(index=False):
-            if r.kind == "wait":
-                waiting.append((r.conn, r.seq, r.deadline))
-            else:
-                ready.append((r.value, r.seq, r.at))
+        waiting, ready, out = deque(self.waiting.get()), list(self.ready.get()), []
+        began = len(waiting), len(ready)
+        arrived = sorted(r for batch in rows for r in zip(*(batch[c] for c in ("seq", "kind", "conn", "deadline", "place", "value", "at")), strict=True))
+        for seq, kind, conn, deadline, place, value, at in arrived:
+            if kind == "wait":
+                if ready:
+                    self._serve(key, conn, ready, out)
+                else:
+                    waiting.append((conn, seq, deadline))
+                continue
+            insort(ready, (float(place), int(seq), value))
             while waiting and ready:
-                conn, seq, deadline = waiting[0]
-                value, push_seq, at = ready[0]
-                if push_seq > seq and deadline >= 0 and at > deadline:
+                conn, _, deadline = waiting.popleft()
+                if deadline >= 0 and at > deadline:
                     out.append((key[0], int(conn), None))
-                    waiting.pop(0)
-                    continue
-                out.append((key[0], int(conn), value))
-                waiting.pop(0)
-                ready.pop(0)
-        for state, rest in ((self.waiting, waiting), (self.ready, ready)):
-            state.clear()
+                else:
+                    self._serve(key, conn, ready, out)
+        for state, rest, n in ((self.waiting, waiting, began[0]), (self.ready, ready, began[1])):
             if rest:
                 state.put([tuple(x) for x in rest])
+            elif n:
+                state.clear()
         yield pd.DataFrame(out, columns=["key", "conn", "value"])
 
     def close(self) -> None:
         pass
 
 
-def blocking_pops(events: DataFrame) -> DataFrame:
-    """Stream of (key, conn, value or null) from rows (key, kind, seq, conn, deadline, value, at)."""
+def blocking_pops(events: DataFrame, last: bool = False, count: int = 1) -> DataFrame:
+    """Stream of (key, conn, value or null) from rows (key, kind, seq, conn, deadline, value, at): BLPOP, BRPOP, BLMPOP.
+
+    With a column ``place`` (scores) it is BZPOPMIN, or BZPOPMAX with ``last``, and BZMPOP with a ``count``.
+    """
     prepare(events.sparkSession)
-    return events.groupBy("key").transformWithStateInPandas(Waiters(), "key string, conn bigint, value string", "Append", "None")
+    if "place" not in events.columns:
+        events = events.withColumn("place", F.col("seq").cast("double"))
+    return events.groupBy("key").transformWithStateInPandas(Waiters(last, count), "key string, conn bigint, value string", "Append", "None")
+
+
+def blocking_moves(events: DataFrame, target: str, last: bool = False) -> DataFrame:
+    """Stream of pushes (key, conn, value) onto ``target``: BLMOVE, and with ``last`` BRPOPLPUSH."""
+    return blocking_pops(events, last).where("value is not null").select(F.lit(target).alias("key"), "conn", "value")
+
+
+class Replica(StatefulProcessor):
+    """Applies the operations of a shard in the order of their offsets and stops at a gap.
+
+    Offsets at or below the last one are repeats.  A missing offset gives a row ``resync`` once; nothing more is
+    applied until a ``snapshot`` row names the offset to go on from.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("applied", "off bigint, stopped boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        off, stopped = self.state.get() if self.state.exists() else (None, False)
+        out = []
+        arrived = sorted((int(o), kind != "snapshot", value) for batch in rows for o, kind, value in zip(batch["off"], batch["kind"], batch["value"], strict=True))
+        for at, is_op, value in arrived:
+            if not is_op:
+                if off is None or at >= off:
+                    off, stopped = at, False
+            elif stopped or (off is not None and at <= off):
+                continue
+            elif off is not None and at > off + 1:
+                stopped = True
+                out.append((key[0], off + 1, "resync", None))
+            else:
+                off = at
+                out.append((key[0], at, "apply", value))
+        if off is not None:
+            self.state.update((off, stopped))
+        yield pd.DataFrame(out, columns=["shard", "off", "action", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def replica_apply(log: DataFrame) -> DataFrame:
+    """Stream of (shard, off, action, value) from rows (shard, off, kind, value), kind ``op`` or ``snapshot``."""
+    prepare(log.sparkSession)
+    return log.groupBy("shard").transformWithStateInPandas(Replica(), "shard int, off bigint, action string, value string", "Append", "None")
 
 
 def notifications(ops: DataFrame, flags: str = "KEA") -> DataFrame:
@@ -119,11 +183,9 @@ def notifications(ops: DataFrame, flags: str = "KEA") -> DataFrame:
 
 def deliver(messages: DataFrame, subs: DataFrame, patterns: tuple[tuple[int, str], ...] = ()) -> DataFrame:
     """Pub/sub of a message stream to a static table of subscriptions and a list of patterns."""
-    exact = messages.join(subs, "channel").select("seq", "channel", "conn")
-    if not patterns:
-        return exact
-    hits = F.array(*(F.when(glob_match("channel", p), F.lit(c)) for c, p in patterns))
-    return exact.unionByName(messages.withColumn("conn", F.explode(F.array_compact(hits))).select("seq", "channel", "conn"))
+    from keyloom.plans.stats import publish
+
+    return publish(messages, subs, patterns).select("seq", "channel", "conn")
 
 
 def replicated(log: DataFrame, delay: str = "10 minutes") -> DataFrame:

@@ -40,3 +40,25 @@ def test_stateless_streams(spark, tmp_path):
     assert len(run(P.deliver(stream, subs, ((2, "new*"),)), spark, "delivered")) == 3
     assert len(run(P.replicated(stream), spark, "replicated")) == 1
     assert run(P.rates(stream), spark, "rates", "update")
+
+
+def test_scored_pops_moves_and_gaps(spark, tmp_path):
+    schema = "key string, kind string, seq bigint, conn bigint, deadline bigint, value string, at bigint, place double"
+    src = str(tmp_path / "scored")
+    rows = [("z", "push", 1, 0, 0, "low", 1, 1.0), ("z", "push", 2, 0, 0, "top", 2, 9.0), ("z", "push", 3, 0, 0, "mid", 3, 5.0), ("z", "wait", 4, 7, -1, None, 4, 0.0)]
+    later = [("z", "wait", 5, 8, -1, None, 5, 0.0), ("z", "wait", 6, 9, -1, None, 6, 0.0), ("z", "push", 7, 0, 0, "new", 7, 2.0)]
+    for i, part in enumerate((rows, later)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    assert [(r.conn, r.value) for r in run(P.blocking_pops(stream, last=True, count=2), spark, "scored")] == [(7, "top"), (7, "mid"), (8, "low"), (9, "new")]
+    stream = spark.readStream.schema(schema).parquet(f"{src}/*").drop("place")
+    assert sorted((r.key, r.value) for r in run(P.blocking_moves(stream, "t"), spark, "moved")) == [("t", "low"), ("t", "mid"), ("t", "top")]
+
+    schema, src = "shard int, off bigint, kind string, value string", str(tmp_path / "log")
+    parts = [[(0, 1, "op", "a"), (0, 2, "op", "b"), (0, 2, "op", "b"), (1, 5, "op", "x")], [(0, 4, "op", "d"), (0, 5, "op", "e"), (1, 6, "op", "y")], [(0, 8, "snapshot", None), (0, 9, "op", "i"), (0, 3, "op", "c")]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    got = [(r.shard, r.off, r.action) for r in run(P.replica_apply(stream), spark, "replica")]
+    assert [g for g in got if g[0] == 0] == [(0, 1, "apply"), (0, 2, "apply"), (0, 3, "resync"), (0, 9, "apply")]
+    assert [g for g in got if g[0] == 1] == [(1, 5, "apply"), (1, 6, "apply")]
