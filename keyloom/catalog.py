@@ -120,6 +120,9 @@ MODULES = {
     "plans.stats": (
         "INFO SLOWLOG LATENCY HOTKEYS"
     ),
+    "plans.session": (
+        "PING ECHO QUIT RESET READONLY READWRITE CONFIG"
+    ),
     "catalog": (
         "COMMAND"
     ),

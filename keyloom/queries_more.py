@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from keyloom.catalog import catalog_rows
 from keyloom.functions import exprs as X
 from keyloom.operators import bitmaps, generic, hashes, hll, lists, sets, strings, ttl, zsets
-from keyloom.plans import fold, persist, ranges, routing, stats
+from keyloom.plans import fold, persist, ranges, routing, session, stats
 from keyloom.queries import NOW, query
+from keyloom.sources import rdb
 from keyloom.sources.model import KEY, probe, shaped
 
 _BIGINT = lambda c: f"CAST({c} AS BIGINT)"
@@ -124,6 +125,21 @@ def _(t):
     return df.select("key", "member")
 
 
+@query("q_dump_binary", "SELECT key, 'hash' AS kind, field, value FROM chash")
+def _(t):
+    back = rdb.restore_binary(rdb.dump_binary(t.chash(), "hash"))
+    pairs = back.groupBy("key", "kind", F.floor(F.col("nth") / 2).alias("pair")).agg(
+        F.max(F.when(F.col("nth") % 2 == 0, F.col("item").cast("string"))).alias("field"), F.max(F.when(F.col("nth") % 2 == 1, F.col("item").cast("string"))).alias("value")
+    )
+    return pairs.select("key", "kind", "field", "value")
+
+
+@query("q_dump_binary_zset", "SELECT key, member, score FROM board")
+def _(t):
+    back = rdb.restore_binary(rdb.dump_binary(t.board(), "zset"))
+    return back.select("key", F.col("item").cast("string").alias("member"), "score")
+
+
 _CRC = (
     "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, strlen({k}) + 1), lambda i: CAST(ord(substr({k}, CAST(i AS INT), 1)) AS BIGINT))), "
     "lambda c, b: xor(xor(xor((c << 8) & 65535, (xor(xor(c >> 8, b), xor(c >> 8, b) >> 4) << 12) & 65535), (xor(xor(c >> 8, b), xor(c >> 8, b) >> 4) << 5) & 65535), xor(xor(c >> 8, b), xor(c >> 8, b) >> 4))) % 16384"
@@ -526,6 +542,60 @@ def _(t):
     return fold.invalidations(reads, e.where("cmd = 'purchase'")).select("seq", "conn", "write_seq")
 
 
+# connections and settings
+
+_SESSION = """(SELECT event_id AS seq, user_id AS conn, CASE event_type WHEN 'click' THEN 'SELECT' WHEN 'view' THEN 'PING' WHEN 'purchase' THEN (CASE event_id % 4 WHEN 0 THEN 'READONLY' WHEN 1 THEN 'READWRITE' WHEN 2 THEN 'MULTI' ELSE 'EXEC' END)
+  WHEN 'signup' THEN 'ECHO' ELSE (CASE event_id % 9 WHEN 0 THEN 'QUIT' WHEN 1 THEN 'RESET' ELSE 'GET' END) END AS cmd,
+  CASE event_type WHEN 'click' THEN CASE WHEN event_id % 11 = 0 THEN 'x' ELSE CAST(event_id % 18 AS VARCHAR) END WHEN 'signup' THEN 'e' || event_id END AS arg FROM events)"""
+_STATE = f"""(SELECT *, coalesce(last_value(CASE cmd WHEN 'SELECT' THEN TRY_CAST(arg AS BIGINT) WHEN 'RESET' THEN 0 END IGNORE NULLS) OVER w, 0) AS session_db,
+  coalesce(last_value(CASE WHEN cmd = 'READONLY' THEN TRUE WHEN cmd IN ('READWRITE', 'RESET') THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS readonly,
+  coalesce(last_value(CASE WHEN cmd = 'MULTI' THEN TRUE WHEN cmd IN ('EXEC', 'DISCARD', 'RESET') THEN FALSE END IGNORE NULLS) OVER w, FALSE) AS queued,
+  coalesce(bool_or(cmd = 'QUIT') OVER w, FALSE) AS closed FROM {_SESSION} WINDOW w AS (PARTITION BY conn ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def _session(t):
+    e, kind, i = t.raw("events"), F.col("event_type"), F.col("event_id")
+    pick = lambda by, *xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (by + 1).cast("int"))
+    cmd = (
+        F.when(kind == "click", "SELECT").when(kind == "view", "PING").when(kind == "purchase", pick(i % 4, "READONLY", "READWRITE", "MULTI", "EXEC"))
+        .when(kind == "signup", "ECHO").when(i % 9 == 0, "QUIT").when(i % 9 == 1, "RESET").otherwise("GET")
+    )
+    arg = F.when(kind == "click", F.when(i % 11 == 0, "x").otherwise((i % 18).cast("string"))).when(kind == "signup", F.concat(F.lit("e"), i))
+    return e.select(F.col("user_id").alias("conn"), i.alias("seq"), cmd.alias("cmd"), arg.alias("arg"))
+
+
+@query("q_session_state", f"SELECT seq, session_db, readonly, queued, closed FROM {_STATE}")
+def _(t):
+    return session.session_state(_session(t)).select("seq", "session_db", "readonly", "queued", "closed")
+
+
+@query("q_session_replies", f"""SELECT seq, cmd, CASE WHEN closed THEN NULL WHEN cmd = 'RESET' THEN 'RESET' WHEN cmd = 'QUIT' THEN 'OK' WHEN queued AND cmd IN ('PING', 'ECHO', 'SELECT', 'READONLY', 'READWRITE') THEN 'QUEUED'
+  WHEN cmd = 'PING' THEN coalesce(arg, 'PONG') WHEN cmd = 'ECHO' THEN arg WHEN cmd = 'SELECT' AND arg = 'x' THEN 'ERR value is not an integer or out of range' WHEN cmd = 'SELECT' AND arg IN ('16', '17') THEN 'ERR DB index is out of range'
+  WHEN cmd IN ('SELECT', 'READONLY', 'READWRITE') THEN 'OK' END AS reply FROM {_STATE}""")
+def _(t):
+    return session.session_replies(_session(t)).select("seq", "cmd", "reply")
+
+
+_SETTINGS = "(SELECT lower(p_brand) || '-' || p_size AS name, max(p_type) AS value FROM part GROUP BY 1)"
+
+
+def _settings(t):
+    name = F.concat(F.lower("p_brand"), F.lit("-"), F.col("p_size"))
+    return t.raw("part").groupBy(name.alias("name")).agg(F.max("p_type").alias("value"))
+
+
+@query("q_config_get", f"SELECT name, value FROM {_SETTINGS} WHERE name GLOB 'brand#1?-*' OR name GLOB '*-7'")
+def _(t):
+    return session.config_get(_settings(t), "BRAND#1?-*", "*-7")
+
+
+@query("q_config_set", f"SELECT name, CASE WHEN name IN (SELECT lower(p_brand) || '-' || p_size FROM part WHERE p_size = 3 AND p_partkey % 2 = 0) THEN 'set' ELSE value END AS value FROM {_SETTINGS}")
+def _(t):
+    rows = t.raw("part").where("p_size = 3").select(F.col("p_partkey").alias("seq"), F.concat(F.col("p_brand"), F.lit("-"), F.col("p_size")).alias("name"), F.lit("set").alias("value"))
+    # commands of odd numbers also name a setting that doesn't exist
+    return session.config_set(_settings(t), rows.unionByName(rows.where("seq % 2 = 1").withColumn("name", F.lit("none"))))
+
+
 # routing, publication, persistence, statistics
 
 
