@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, keyed, spool
 
-#: Words in a window, and how many of them must not be placeholders.
+#: Words in a window (a power of two), and how many of them must not be placeholders.
 WINDOW, LITERALS = 8, 5
 #: Share of an item's windows, on one diagonal, from which a document counts as contaminated, and a number of
 #: windows that is enough whatever the share.
@@ -56,12 +56,27 @@ def plain_words(text: Column) -> Column:
     return F.transform(raw_words(text), lambda w: F.lower(F.translate(w, _MARKS, "")))
 
 
+def window_hashes(words: Column) -> Column:
+    """Hash of the ``WINDOW`` words from each place on.
+
+    Words are hashed once; hashes of two, four and eight words come from pairs of shorter ones.  Each step binds
+    the one before as a variable, so that nothing is computed twice.
+    """
+    bind = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+
+    def pairs(h, width):
+        n = F.greatest(F.size(h) - width, F.lit(0))
+        return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(width + 1), n), lambda a, b: F.xxhash64(a, b))
+
+    def doubled(h, width):
+        return h if width == WINDOW else bind(pairs(h, width), lambda wider: doubled(wider, 2 * width))
+
+    return bind(F.transform(words, lambda x: F.xxhash64(x)), lambda h: doubled(h, 1))
+
+
 def windows(df: DataFrame, key: list[str]) -> DataFrame:
     """(key, at, h): position and hash of every template window."""
-    words = df.select(*key, template(F.col("text")).alias("w"))
-    n = F.size("w") - WINDOW + 1
-    hashes = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
-    return words.select(*key, F.posexplode(hashes).alias("at", "h"))
+    return df.select(*key, F.posexplode(window_hashes(template(F.col("text")))).alias("at", "h"))
 
 
 def plain_windows(df: DataFrame, key: list[str], sizes: list[int]) -> DataFrame:
@@ -80,11 +95,10 @@ def plain_windows(df: DataFrame, key: list[str], sizes: list[int]) -> DataFrame:
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(item_id, j, m, h, n_windows): windows with enough literal words, and those of items that have none of them."""
     items = benchmark.where("item_id is not null and text is not null").dropDuplicates(["item_id"]).select("item_id", "text")
-    w = items.select("item_id", template(F.col("text")).alias("w")).where(F.size("w") >= WINDOW)
-    w = w.select("item_id", "w", F.explode(F.sequence(F.lit(1), F.size("w") - WINDOW + 1)).alias("i"))
-    part = F.slice("w", F.col("i"), WINDOW)
-    literal = F.size(F.filter(part, lambda x: ~x.rlike("[\x01\x02\x03]")))
-    w = w.where(literal >= LITERALS).select("item_id", (F.col("i") - 1).alias("j"), F.lit(WINDOW).alias("m"), F.xxhash64(part).alias("h"))
+    w = items.select("item_id", template(F.col("text")).alias("w"))
+    w = w.select("item_id", "w", F.posexplode(window_hashes(F.col("w"))).alias("j", "h"))
+    literal = F.size(F.filter(F.slice("w", F.col("j") + 1, WINDOW), lambda x: ~x.rlike("[\x01\x02\x03]")))
+    w = w.where(literal >= LITERALS).select("item_id", "j", F.lit(WINDOW).alias("m"), "h")
     rich = spool(w.join(w.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")), "item_id"))
     p = items.join(rich.select("item_id").distinct(), "item_id", "left_anti").select("item_id", plain_words(F.col("text")).alias("w"))
     p = p.where(F.size("w") > 0).withColumn("m", F.least(F.size("w"), F.lit(WINDOW))).withColumn("n_windows", (F.size("w") - F.col("m") + 1).cast("long"))
