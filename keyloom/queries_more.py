@@ -12,9 +12,6 @@ from keyloom.queries import NOW, query
 from keyloom.sources import rdb
 from keyloom.sources.model import KEY, probe, shaped
 
-_BIGINT = lambda c: f"CAST({c} AS BIGINT)"
-
-
 def _strs(t):
     """Strings of customers: the segment, with a deadline for every third."""
     c = t.raw("customer")
@@ -599,7 +596,7 @@ def _(t):
 # routing, publication, persistence, statistics
 
 
-@query("q_key_extraction", """SELECT seq, cmd, k.i - 1 AS nth, keys[k.i] AS key FROM (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'MSET' WHEN 'view' THEN 'ZUNIONSTORE' WHEN 'purchase' THEN 'SORT'
+@query("q_key_extraction", """SELECT seq, cmd, CAST(k.i - 1 AS BIGINT) AS nth, keys[k.i] AS key FROM (SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'MSET' WHEN 'view' THEN 'ZUNIONSTORE' WHEN 'purchase' THEN 'SORT'
   WHEN 'signup' THEN 'BITOP' ELSE 'MSETEX' END AS cmd, CASE event_type WHEN 'click' THEN (CASE WHEN event_id % 2 = 0 THEN ['a' || user_id, 'b'] ELSE [] END)
   WHEN 'view' THEN ['d' || user_id, 'x', 'y'] WHEN 'purchase' THEN ['l' || user_id, 'out'] WHEN 'signup' THEN ['d', 's' || user_id, 's2']
   ELSE (CASE WHEN event_id % 2 = 0 THEN ['m' || user_id, 'n'] ELSE [] END) END AS keys FROM events), (SELECT unnest([1, 2, 3]) AS i) k WHERE k.i <= len(keys)""")
@@ -637,7 +634,7 @@ def _(t):
     return stats.numsub(t.raw("customer").select(F.col("c_custkey").alias("conn"), F.concat(F.lit("user:"), F.col("c_custkey") % 500).alias("channel")))
 
 
-@query("q_save_load", "SELECT 'sets' AS tab, count(*) AS n, sum(strlen(member)) AS bytes FROM users UNION ALL SELECT 'hash', count(*), sum(strlen(value)) FROM chash")
+@query("q_save_load", "SELECT 'sets' AS tab, count(*) AS n, CAST(sum(strlen(member)) AS BIGINT) AS bytes FROM users UNION ALL SELECT 'hash', count(*), CAST(sum(strlen(value)) AS BIGINT) FROM chash")
 def _(t):
     path = ranges.shared_path(t.spark)
     persist.save({"sets": t.users(), "hash": t.chash()}, path, NOW)
