@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import keyed, map_arrow, record, spool, text_rows
 
@@ -32,6 +33,9 @@ RUN_WORDS = 30
 #: passage's edge, has at most RUN_WORDS - 1 + PART words, and its end must be PART - 1 words from the other edge:
 #: n >= 2 * START + 2 * PART + RUN_WORDS - 3 is enough, and holds for 51 words.
 PART, START = 3, 9
+#: One text in so many is looked through for runs that many texts share; a run that stands so often among these
+#: is dealt in so many parts.
+SAMPLED, CROWD, PARTS = 64, 16, 64
 #: Words whose hash a worker remembers.
 REMEMBERED = 300_000
 #: A word of more characters is cut by characters as well, and so many of them count as one word.
@@ -153,13 +157,15 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return value ^ (value >> np.uint64(32)), first, last - first + 1
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
+def repeated_spans(texts: DataFrame, sampled: int = SAMPLED, crowd: int = CROWD) -> DataFrame:
     """(d, h, first, n) of every run that stands earlier as well, by null ids last, ``d``, ``h`` and sentence.
 
     ``texts`` has ``z``, ``d``, ``h`` and ``text``, as ``common.keyed`` makes them.  Rows that repeat all
     of them are one document with equal texts: their runs have equal places, so none of them is later than
-    another.  Counting comes before the join, so only hashes seen twice or more are joined; a hash that many
-    documents share is split by adaptive execution.  Runs are told apart by 64-bit hashes.
+    another.  All runs are shuffled once, by hash, and ranked by place.  A hash that many documents share
+    would be one task's: its rows are dealt in ``PARTS`` parts, and the first of each part are ranked again.
+    Which hashes these are is learnt from every ``sampled``-th text; that decides how rows are dealt and
+    nothing else.  Runs are told apart by 64-bit hashes.
     """
     out = T.StructType.fromDDL("z boolean, d long, h long, run long, first int, n int")
 
@@ -170,12 +176,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             run, first, n = (np.concatenate(c) for c in zip(*got, strict=True))
             yield record([*(batch.column(c).take(of) for c in ("z", "d", "h")), *map(pa.array, (run.view(np.int64), first.astype(np.int32), n.astype(np.int32)))], out)
 
-    all_runs = spool(map_arrow(texts, ["z", "d", "h", "text"], out, work))
-    place = F.struct("z", "d", "h", "first")
-    seen = all_runs.groupBy("run").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("c"))
-    seen = seen.where("c > 1").select("run", F.col("p.d").alias("d0"), F.col("p.h").alias("h0"), F.col("p.first").alias("f0"))
-    # written out, so that the join has an exchange of its own and a frequent hash can be split
-    return all_runs.join(spool(seen), "run").where("d <> d0 or h <> h0 or first <> f0").select("d", "h", "first", "n")
+    def found(some):
+        return map_arrow(some, ["z", "d", "h", "text"], out, work)
+
+    sample = texts.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sampled)) == 0)
+    crowded = spool(found(sample).groupBy("run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= crowd).select("run", F.lit(True).alias("crowded")))
+    # at most one in sampled * crowd runs, so few
+    part = F.when(F.col("crowded"), F.pmod(F.xxhash64("d", "h", "first"), F.lit(PARTS)))
+    dealt = found(texts).join(F.broadcast(crowded), "run", "left").withColumn("part", part)
+    place = ["z", "d", "h", "first"]
+    later = F.rank().over(Window.partitionBy("run", "part").orderBy(*place)) > 1
+    # null in rows that stand earlier as well; elsewhere the run, whose parts are still to be compared
+    again = dealt.withColumn("run", F.when(~later, F.col("run"))).where("run is null or part is not null").select("run", *place, "n")
+    if crowded.limit(1).count() == 0:
+        return again.select("d", "h", "first", "n")
+    again = spool(again)
+    firsts = again.where("run is not null").withColumn("r", F.rank().over(Window.partitionBy("run").orderBy(*place))).where("r > 1")
+    return again.where("run is null").union(firsts.drop("r")).select("d", "h", "first", "n")
 
 
 def dedup_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:

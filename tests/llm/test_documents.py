@@ -247,6 +247,33 @@ def test_copies_go_and_common_lines_stay(spark):
     assert got[21][0].kept == got[23][0].kept == got[None][0].kept == "" and len(got[32][0].kept) < 60 and len(got[40]) == 2
 
 
+def test_runs_are_shuffled_once_however_common(spark, docs, monkeypatch):
+    """Only runs found again are written, all are shuffled once, and dealing common runs in parts changes nothing."""
+    written, spool = [], spans.spool
+
+    def counted(df):
+        written.append(spool(df))
+        return written[-1]
+
+    monkeypatch.setattr(spans, "spool", counted)
+    rows = [*docs.items(), *((1000 + i, docs[0] + docs[1]) for i in range(40)), *((None, docs[i]) for i in range(3)), *[(5, docs[5])] * 3, (5, docs[6] + docs[5])]
+    texts = common.keyed(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    texts = texts.select("text", F.col("__z").alias("z"), F.col("__d").alias("d"), F.col("__h").alias("h"))
+    found = [(r.z, r.d, r.h, *k) for r in texts.collect() for k in zip(*map(np.ndarray.tolist, spans.runs(r.text)), strict=True)]
+    least = {}
+    for z, d, h, run, k, _ in found:
+        least[run] = min(least.get(run, (z, d, h, k)), (z, d, h, k))
+    want = Counter((d, h, k, n) for z, d, h, run, k, n in found if (z, d, h, k) != least[run])
+    assert len(want) > 500
+    for bounds in ((), (1, 2), (1, 20), (1, 10**6)):
+        written.clear()
+        got = spans.repeated_spans(texts, *bounds)
+        assert Counter(map(tuple, got.collect())) == want
+        assert sum(w.count() for w in written) < 0.8 * len(found)
+        if bounds == (1, 10**6):
+            assert got._jdf.queryExecution().sparkPlan().toString().count("Window [") == 1 and len(written) == 1
+
+
 @pytest.mark.parametrize("kind", ["words", "one word", "uncut words", "han", "thai", "unspaced"])
 def test_passages_without_marks_hold_a_run(kind):
     rng = random.Random(8)
